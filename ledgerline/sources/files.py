@@ -229,7 +229,7 @@ def import_delimited(
 
 
 def load_ledger(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "|", **options: object) -> DataFrame:
-    """Per input file: rows loaded, bad rows, status."""
+    """Per input file: rows loaded, bad rows, loaded rows without a first field, status."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     with_bad = T.StructType([*fields, T.StructField("_bad", T.StringType())])
     # every column is parsed, else a bad value in an unread column would count as loaded
@@ -239,17 +239,19 @@ def load_ledger(spark: SparkSession, path: str, schema: T.StructType | str, sep:
         .csv(path)
     )
     parsed = rows.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_bad").isNotNull().alias("_is_bad"), F.col(fields[0].name)
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_bad").isNotNull().alias("_is_bad"),
+        F.col(fields[0].name).isNull().alias("_no_key"),
     )
-    bad = F.col("bad_rows")
-    return (
-        parsed.groupBy("file")
-        .agg(F.count_if(~F.col("_is_bad")).alias("rows_loaded"), F.count_if("_is_bad").alias("bad_rows"))
-        .withColumn(
-            "status",
-            F.when(bad == 0, F.lit("loaded")).when(F.col("rows_loaded") == 0, F.lit("failed")).otherwise(F.lit("partial")),
-        )
+    bad, good = F.col("_is_bad"), ~F.col("_is_bad")
+    counted = parsed.groupBy("file").agg(
+        F.count_if(good).alias("rows_loaded"),
+        F.count_if(bad).alias("bad_rows"),
+        F.count_if(good & F.col("_no_key")).alias("null_keys"),
     )
+    # naming null_keys here keeps a data column in the scan: Spark refuses to read bad lines alone
+    status = F.when(F.col("bad_rows") == 0, "loaded").when(F.col("rows_loaded") == 0, "failed").otherwise("partial")
+    return counted.filter(F.col("rows_loaded") + F.col("bad_rows") + F.col("null_keys") > 0).withColumn("status", status)
 
 
 def ledger_totals(ledger: DataFrame) -> DataFrame:
