@@ -1,16 +1,19 @@
 """Keyed comparison of two versions of a table.
 
-Both sides are tagged, unioned and grouped by key once. That one shuffle yields,
-per key, the row counts of each side and the first row of each side, which is
-all any comparison result needs; a key held by many rows combines map-side.
+Each side is reduced to its row count and first row per key, which combines
+map-side however many rows share a key. The two reduced sides are then joined on
+the partitioning the reduction left behind, so every side is shuffled once and no
+join meets a hot key. All comparison results derive from these pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerline.functions.values import common_type, differs
 from ledgerline.operators.rows import join_on, sample_per_group
@@ -53,13 +56,25 @@ def compared_columns(left: DataFrame, right: DataFrame, spec: CompareSpec) -> li
     return columns
 
 
+def _key_types(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> dict[str, T.DataType]:
+    """Keys match as text; whole numbers of either width give the same matches without the text."""
+    types = {k: common_type(left.schema[k].dataType, right.schema[k].dataType) for k in keys}
+    return {k: t if isinstance(t, T.IntegralType) else T.StringType() for k, t in types.items()}
+
+
+def _as_text(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) if c in keys else F.col(c) for c in df.columns])
+
+
 def key_presence(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct keys (as text) with the row count of each side. Reads key columns only."""
-    text = [F.col(k).cast("string").alias(k) for k in keys]
-    both = left.select(*text, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
-        right.select(*text, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    """Distinct keys with the row count of each side. Reads key columns only."""
+    types = _key_types(left, right, keys)
+    typed = [F.col(k).cast(types[k]).alias(k) for k in keys]
+    both = left.select(*typed, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
+        right.select(*typed, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
-    return both.groupBy(*keys).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+    counts = both.groupBy(*keys).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+    return _as_text(counts, keys)
 
 
 def keys_only_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -111,39 +126,46 @@ def drop_ignored_keys(df: DataFrame, spec: CompareSpec) -> DataFrame:
 def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
     """One row per key: counts, first row of each side as structs, and the ignore flag.
 
-    Keys are text, so both sides match whatever their key types. The first row is
-    the smallest by ``spec.order``, then by the compared columns.
+    The first row is the smallest by ``spec.order``, then by the compared columns.
+    A NULL key is a key like any other.
     """
     columns = compared_columns(left, right, spec)
     types = {c: common_type(left.schema[c].dataType, right.schema[c].dataType) for c in columns}
+    key_types = _key_types(left, right, spec.keys)
     lead = [o for o in spec.order if o not in columns]
+    ordered = [*[o for o in spec.order if o in columns], *[c for c in columns if c not in spec.order]]
+    empty = {k: F.lit("" if isinstance(t, T.StringType) else 0).cast(t) for k, t in key_types.items()}
 
-    def side(df: DataFrame, is_left: bool) -> DataFrame:
-        ordered = [*[c for c in spec.order if c in columns], *[c for c in columns if c not in spec.order]]
+    def side(df: DataFrame, row: str, count: str) -> DataFrame:
+        # NULL keys are told apart by a bit mask, so that a plain equi-join pairs them too
+        nulls = reduce(add, [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(spec.keys)])
         values = [F.col(c).alias(f"_o_{c}") for c in lead] + [F.col(c).cast(types[c]).alias(c) for c in ordered]
-        return df.select(
-            *[F.col(k).cast("string").alias(k) for k in spec.keys],
-            F.lit(is_left).alias("_left"),
-            F.struct(*values).alias("_row"),
+        return (
+            df.select(
+                *[F.coalesce(F.col(k).cast(key_types[k]), empty[k]).alias(k) for k in spec.keys],
+                nulls.alias("_nulls"),
+                F.struct(*values).alias("_row"),
+            )
+            .groupBy(*spec.keys, "_nulls")
+            .agg(F.count(F.lit(1)).alias(count), F.min("_row").alias(row))
         )
 
-    is_left = F.col("_left")
-    paired = (
-        side(left, True)
-        .unionAll(side(right, False))
-        .groupBy(*spec.keys)
-        .agg(
-            F.count_if(is_left).alias("n_left"),
-            F.count_if(~is_left).alias("n_right"),
-            F.min(F.when(is_left, F.col("_row"))).alias("l"),
-            F.min(F.when(~is_left, F.col("_row"))).alias("r"),
-        )
+    none = F.lit(0).cast("long")
+    joined = side(left, "l", "n_left").join(side(right, "r", "n_right"), [*spec.keys, "_nulls"], "full_outer")
+    pairs = joined.select(
+        *[F.when(F.col("_nulls").bitwiseAND(1 << i) == 0, F.col(k)).alias(k) for i, k in enumerate(spec.keys)],
+        F.coalesce("n_left", none).alias("n_left"),
+        F.coalesce("n_right", none).alias("n_right"),
+        "l",
+        "r",
     )
     ignored = _ignored(left, spec)
     if ignored is None:
-        return paired.withColumn("ignored", F.lit(False))
-    flagged = join_on(paired, ignored.withColumn("_hit", F.lit(True)), spec.keys, "left")
-    return flagged.select(*paired.columns, F.col("_hit").isNotNull().alias("ignored"))
+        return pairs.withColumn("ignored", F.lit(False))
+    text = [f"_t_{k}" for k in spec.keys]
+    listed = ignored.select(*[F.col(k).alias(f"_t_{k}") for k in spec.keys], F.lit(True).alias("_hit"))
+    flagged = pairs.select("*", *[F.col(k).cast("string").alias(f"_t_{k}") for k in spec.keys])
+    return join_on(flagged, listed, text, "left").select(*pairs.columns, F.col("_hit").isNotNull().alias("ignored"))
 
 
 def _matched(pairs: DataFrame) -> DataFrame:
@@ -176,8 +198,8 @@ def _diff_of(pairs: DataFrame, spec: CompareSpec, columns: Sequence[str]) -> Dat
 
 
 def cell_diff(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
-    """Every differing cell of the matched keys: key, column, left and right value."""
-    return _diff_of(pair_by_key(left, right, spec), spec, compared_columns(left, right, spec))
+    """Every differing cell of the matched keys: key as text, column, left and right value."""
+    return _as_text(_diff_of(pair_by_key(left, right, spec), spec, compared_columns(left, right, spec)), spec.keys)
 
 
 def mismatch_counts(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
@@ -202,9 +224,9 @@ def mismatch_counts(left: DataFrame, right: DataFrame, spec: CompareSpec) -> Dat
 def mismatch_pairs(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
     """Per column and (left, right) value pair: how often it occurs and the smallest key."""
     example = F.min(F.struct(*spec.keys)).alias("_key")
+    cells = _diff_of(pair_by_key(left, right, spec), spec, compared_columns(left, right, spec))
     grouped = (
-        cell_diff(left, right, spec)
-        .groupBy("column", "left_value", "right_value")
+        cells.groupBy("column", "left_value", "right_value")
         .agg(F.count(F.lit(1)).alias("count"), example)
     )
     return grouped.select(
@@ -212,13 +234,14 @@ def mismatch_pairs(left: DataFrame, right: DataFrame, spec: CompareSpec) -> Data
         "left_value",
         "right_value",
         "count",
-        *[F.col(f"_key.{k}").alias(f"example_{k}") for k in spec.keys],
+        *[F.col(f"_key.{k}").cast("string").alias(f"example_{k}") for k in spec.keys],
     )
 
 
 def mismatch_samples(left: DataFrame, right: DataFrame, spec: CompareSpec, n: int = 5) -> DataFrame:
     """At most ``n`` differing cells per column, smallest keys first."""
-    return sample_per_group(cell_diff(left, right, spec), ["column"], spec.keys, n)
+    cells = _diff_of(pair_by_key(left, right, spec), spec, compared_columns(left, right, spec))
+    return _as_text(sample_per_group(cells, ["column"], spec.keys, n), spec.keys)
 
 
 def duplicate_key_counts(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
@@ -297,14 +320,16 @@ def _counter_rows(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _entry_rows(pairs: DataFrame, spec: CompareSpec, columns: Sequence[str]) -> DataFrame:
     """Entries of one-sided keys, duplicate keys and mismatching value pairs."""
-    key = F.to_json(F.struct(*spec.keys), {"ignoreNullFields": "false"})
+    key_type = T.StructType([pairs.schema[k] for k in spec.keys])
+    text = F.struct(*[F.col(k).cast("string").alias(k) for k in spec.keys])
+    key = F.to_json(text, {"ignoreNullFields": "false"})
     none = F.lit(None).cast("string")
     one = F.lit(1).cast("long")
 
     def entry(when: Column, section: str, label: Column, n: Column = one, lv: Column = none,
-              rv: Column = none, example: Column = none) -> Column:
+              rv: Column = none, example: Column = F.lit(None)) -> Column:
         fields = {"section": F.lit(section), "label": label, "left_value": lv, "right_value": rv,
-                  "n": n, "example": example}
+                  "n": n, "example": example.cast(key_type)}
         return F.when(when, F.struct(*[c.alias(name) for name, c in fields.items()]))
 
     live = ~F.col("ignored")
@@ -318,13 +343,24 @@ def _entry_rows(pairs: DataFrame, spec: CompareSpec, columns: Sequence[str]) ->
     for c in columns:
         lv, rv = F.col(f"l.{c}"), F.col(f"r.{c}")
         entries.append(
-            entry(matched & differs(lv, rv), "mismatch_pair", F.lit(c), one, lv.cast("string"), rv.cast("string"), key)
+            entry(matched & differs(lv, rv), "mismatch_pair", F.lit(c), one, lv.cast("string"), rv.cast("string"), F.struct(*spec.keys))
         )
     return (
         pairs.select(F.explode(F.array_compact(F.array(*entries))).alias("_e"))
         .select("_e.*")
         .groupBy("section", "label", "left_value", "right_value")
-        .agg(F.sum("n").alias("n"), F.min("example").alias("example"))
+        .agg(F.sum("n").alias("n"), F.min("example").alias("_key"))
+        .withColumn(
+            "example",
+            F.when(
+                F.col("_key").isNotNull(),
+                F.to_json(
+                    F.struct(*[F.col(f"_key.{k}").cast("string").alias(k) for k in spec.keys]),
+                    {"ignoreNullFields": "false"},
+                ),
+            ),
+        )
+        .drop("_key")
     )
 
 

@@ -37,6 +37,10 @@ CASTS = {
 }
 CHARACTER_COUNTS = ["char_count", "text_count", "enum_count"]
 
+#: every text that casts to a number looks like this; a failing cast costs an exception per value
+NUMBER_LIKE = r"(?i)^[\x00-\x20]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?[df]?|nan|inf(inity)?|0x[0-9a-f.]+p[+-]?[0-9]+[df]?)[\x00-\x20]*$"
+GATED = ("bigint", "float", "double", "decimal")
+
 
 def _text(name: str) -> Column:
     return F.col(name).cast("string")
@@ -54,9 +58,13 @@ def profile_regex(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def profile_try_cast(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: how many values cast to each type, and all rows."""
-    metrics = {
-        name: (lambda c, t=target: F.count(_text(c).try_cast(t))) for name, target in CASTS.items()
-    }
+    def casting(target: str, name: str) -> Column:
+        value = _text(name)
+        if target.startswith(GATED):
+            value = F.when(value.rlike(NUMBER_LIKE), value)
+        return F.count(value.try_cast(target))
+
+    metrics = {name: (lambda c, t=target: casting(t, c)) for name, target in CASTS.items()}
     for name in CHARACTER_COUNTS:
         metrics[name] = lambda c: F.count(F.col(c))
     metrics["total_count"] = lambda c: F.count(F.lit(1))

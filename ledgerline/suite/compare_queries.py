@@ -60,7 +60,7 @@ diff AS (SELECT CAST(k AS VARCHAR) AS o_orderkey, 'o_custkey' AS "column", CAST(
     UNION ALL SELECT CAST(k AS VARCHAR), 'o_orderpriority', lp, rp FROM m WHERE lp IS DISTINCT FROM rp
     UNION ALL SELECT CAST(k AS VARCHAR), 'o_orderdate', CAST(ld AS VARCHAR), CAST(rd AS VARCHAR) FROM m
               WHERE ld IS DISTINCT FROM rd),
-pairs AS (SELECT "column", left_value, right_value, count(*) AS count, min(o_orderkey) AS example_o_orderkey FROM diff GROUP BY ALL)"""
+pairs AS (SELECT "column", left_value, right_value, count(*) AS count, CAST(min(CAST(o_orderkey AS BIGINT)) AS VARCHAR) AS example_o_orderkey FROM diff GROUP BY ALL)"""
 
 MISMATCH_SQL = f"""WITH {SIDES} SELECT 'o_custkey' AS "column", count(*) FILTER (lc IS DISTINCT FROM rc) AS mismatches FROM m
     UNION ALL SELECT 'o_orderstatus', count(*) FILTER (ls IS DISTINCT FROM rs) FROM m
@@ -95,7 +95,7 @@ query("mismatch_pairs", f"WITH {SIDES} SELECT * FROM pairs")(
 
 query(
     "mismatch_samples",
-    f"""WITH {SIDES} SELECT * FROM diff QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY o_orderkey) <= 5""",
+    f"""WITH {SIDES} SELECT * FROM diff QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY CAST(o_orderkey AS BIGINT)) <= 5""",
 )(lambda t: compare.mismatch_samples(orders_left(t), orders_right(t), TEXT_SPEC, 5))
 
 query("cell_diff_long", f"WITH {SIDES} SELECT * FROM diff")(
