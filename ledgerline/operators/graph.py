@@ -72,7 +72,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
             .select(F.col("u").alias("v"), F.col("_m").alias("u"))
             .distinct()
         )
-        large = materialize(large, "links")
+        # read twice below; both readers share the shuffle of the distinct edges
         lowest = large.groupBy("v").agg(F.min("u").alias("_m")).withColumnRenamed("v", "_c")
         # the smaller neighbours of a vertex, and the vertex itself, are linked to the smallest of them
         small = (

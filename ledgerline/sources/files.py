@@ -12,8 +12,12 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", schema: T.StructType | str | None = None, **options: object) -> DataFrame:
-    """Delimited file with a header; types are inferred unless a schema is given."""
-    reader = spark.read.options(header=True, sep=sep, **options)
+    """Delimited file with a header; types are inferred unless a schema is given.
+
+    Quotes inside quoted fields are doubled. Pass ``multiLine=True`` for fields
+    with line breaks; such files cannot be split.
+    """
+    reader = spark.read.options(header=True, sep=sep, escape='"').options(**options)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -54,7 +58,7 @@ def read_keyed_csvs(
         fields = [
             T.StructField(f.name, T.StringType() if f.name in text_columns else f.dataType) for f in typed.schema
         ]
-        df = spark.read.schema(T.StructType(fields)).csv(path, header=True)
+        df = spark.read.schema(T.StructType(fields)).csv(path, header=True, escape='"')
         frames.append(df.withColumn("source_key", F.lit(key)))
     combined = None
     for df in frames:
@@ -268,6 +272,6 @@ def csv_records(spark: SparkSession, paths: Mapping[str, str], schema: T.StructT
     """Several CSV sources of one schema in a single scan, each row with its ``source_key``."""
     by_path = F.create_map(*[F.lit(x) for key, path in paths.items() for x in (path.rstrip("/"), key)])
     folder = F.regexp_replace(plain_path(F.col("_metadata.file_path")), "/[^/]*$", "")
-    rows = spark.read.schema(schema).csv(list(paths.values()), header=True)
+    rows = spark.read.schema(schema).csv(list(paths.values()), header=True, escape='"')
     own = plain_path(F.col("_metadata.file_path"))
     return rows.select("*", F.coalesce(F.try_element_at(by_path, own), F.try_element_at(by_path, folder)).alias("source_key"))
