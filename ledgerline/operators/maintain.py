@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.operators.joins import anti_by_key, distinct_keys
-from ledgerline.operators.rows import keep_first
+from ledgerline.operators.rows import join_on, keep_first
+from ledgerline.session import materialize
 
 
 def _latest(source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -35,6 +36,12 @@ def _latest(source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return single.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in source.columns])
 
 
+def _stored_latest(source: DataFrame, supplied: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The reduced source, stored as it is read several times and its size decides the joins."""
+    needed = source.select(*supplied, *[o for o in order if o not in supplied])
+    return materialize(_latest(needed, keys, order).select(*supplied), "latest")
+
+
 def _incomplete(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing = F.lit(False)
     for k in keys:
@@ -60,7 +67,7 @@ def upsert(
     updated = [c for c in (update_columns if update_columns is not None else supplied) if c not in keys]
     if not updated:
         raise ValueError("no columns to update besides the keys")
-    latest = _latest(source.select(*supplied, *[o for o in order if o not in supplied]), keys, order)
+    latest = _stored_latest(source, supplied, keys, order)
     changes = latest.select(*keys, F.struct(*updated).alias("_new"))
     merged = target.join(changes, list(keys), "left").select(
         *[
@@ -90,25 +97,34 @@ def upsert_touch(
 def replace(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Whole rows are replaced; columns the source lacks become NULL."""
     supplied = [c for c in source.columns if c in target.columns]
-    latest = _latest(source.select(*supplied, *[o for o in order if o not in supplied]), keys, order).select(*supplied)
+    latest = _stored_latest(source, supplied, keys, order)
     unkeyed = _incomplete(source, keys).select(*supplied)
     kept = target.join(latest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(latest.unionByName(unkeyed), allowMissingColumns=True).select(*target.columns)
 
 
+def deleted_keys(prod: DataFrame, landing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of ``prod`` the landing side lacks, NULL keys included, stored.
+
+    Only key columns are shuffled. The result is usually small, so the joins of
+    whole rows against it need no shuffle.
+    """
+    return materialize(anti_by_key(distinct_keys(prod, keys), landing, keys), "deleted")
+
+
 def deleted_rows(
     prod: DataFrame, landing: DataFrame, keys: Sequence[str], as_of: datetime.date | None = None, stamp_as: str = "as_of_dt"
 ) -> DataFrame:
     """Rows of ``prod`` whose key the landing side lacks, stamped with the date."""
-    gone = anti_by_key(prod, landing, keys)
+    gone = join_on(prod, deleted_keys(prod, landing, keys), keys, "left_semi")
     return gone.withColumn(stamp_as, F.current_date() if as_of is None else F.lit(as_of))
 
 
 def sync_deletes(prod: DataFrame, landing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``prod`` without the rows whose key the landing side lacks."""
-    return prod.join(distinct_keys(landing, keys), list(keys), "left_semi")
+    return join_on(prod, deleted_keys(prod, landing, keys), keys, "left_anti")
 
 
 def deleted_count(prod: DataFrame, landing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number of rows that ``sync_deletes`` removes."""
-    return anti_by_key(prod, landing, keys).agg(F.count(F.lit(1)).alias("deleted"))
+    return anti_by_key(prod.select(*keys), landing, keys).agg(F.count(F.lit(1)).alias("deleted"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.operators.rows import global_rank
+from ledgerline.session import materialize
 
 
 def partition_sizes(df: DataFrame) -> DataFrame:
@@ -79,9 +80,10 @@ def pack_keys(counts: DataFrame, key: str, size: str, bins: int) -> DataFrame:
     )
     place = F.col("_rank") - 1 - F.col("before")
     later = F.col("first_bin") + 1 + F.floor((place - F.col("here")) / F.col("per_bin"))
-    return ranked.join(runs, "size").select(
+    packed = ranked.join(runs, "size").select(
         key, "size", F.when(place < F.col("here"), F.col("first_bin")).otherwise(later).cast("int").alias("bin")
     )
+    return materialize(packed, "bins")
 
 
 def assign_bins(df: DataFrame, bins: DataFrame, key: str) -> DataFrame:

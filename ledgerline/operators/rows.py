@@ -80,8 +80,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], count: str = "count") ->
 
 
 def rows_of_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row whose key occurs more than once."""
-    repeated = duplicate_keys(df, keys).select(*keys)
+    """Every row whose key occurs more than once.
+
+    The repeated keys are stored first. They are usually few, and with their true
+    size known Catalyst broadcasts them: then only key columns were shuffled.
+    """
+    repeated = materialize(duplicate_keys(df, keys).select(*keys), "repeated")
     return join_on(df, repeated, keys, "left_semi")
 
 

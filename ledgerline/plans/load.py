@@ -17,11 +17,11 @@ from ledgerline.operators.clean import (
     fill_null_text,
     scrub_text,
 )
-from ledgerline.operators.joins import distinct_keys, join_inner, new_keys
-from ledgerline.operators.maintain import upsert_non_key
+from ledgerline.operators.joins import join_inner, new_keys
+from ledgerline.operators.maintain import deleted_keys, upsert_non_key
 from ledgerline.operators.partition import choose_partitions_by_rows
 from ledgerline.operators.quality import validate_counts
-from ledgerline.session import materialize
+from ledgerline.operators.rows import join_on
 from ledgerline.sources.files import import_delimited, ledger_totals, load_ledger
 from ledgerline.sources.sinks import export_delimited, save_table, swap_table, write_parquet
 
@@ -93,12 +93,10 @@ class SyncTable:
 
 
 def sync_split(prod: DataFrame, landing: DataFrame, keys: Sequence[str], as_of: datetime.date) -> tuple[DataFrame, DataFrame]:
-    """(archive rows, remaining rows) from one stored join, so both always agree."""
-    marked = distinct_keys(landing, keys).withColumn("_kept", F.lit(True))
-    flagged = materialize(prod.join(marked, list(keys), "left"), "sync")
-    columns = prod.columns
-    gone = flagged.filter("_kept IS NULL").select(*columns).withColumn("as_of_dt", F.lit(as_of))
-    return gone, flagged.filter("_kept").select(*columns)
+    """(archive rows, remaining rows) split by one stored set of deleted keys, so both always agree."""
+    missing = deleted_keys(prod, landing, keys)
+    gone = join_on(prod, missing, keys, "left_semi").withColumn("as_of_dt", F.lit(as_of))
+    return gone, join_on(prod, missing, keys, "left_anti")
 
 
 def sync_with_archive(spark: SparkSession, tables: Sequence[SyncTable], as_of: datetime.date) -> DataFrame:
@@ -108,11 +106,13 @@ def sync_with_archive(spark: SparkSession, tables: Sequence[SyncTable], as_of: d
         if not t.keys:
             rows.append((t.prod, "skipped: no key", None, None))
             continue
-        gone, kept = sync_split(spark.table(t.prod), spark.table(t.landing), t.keys, as_of)
-        deleted, remaining = gone.count(), kept.count()
+        prod = spark.table(t.prod)
+        before = prod.count()
+        gone, kept = sync_split(prod, spark.table(t.landing), t.keys, as_of)
         save_table(gone, t.archive)
         swap_table(kept, t.prod)
-        rows.append((t.prod, "synced", deleted, remaining))
+        remaining = spark.table(t.prod).count()
+        rows.append((t.prod, "synced", before - remaining, remaining))
     return spark.createDataFrame(rows, "table string, status string, deleted long, remaining long")
 
 

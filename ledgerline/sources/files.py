@@ -8,8 +8,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ledgerline.session import materialize
+
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+#: most rows (one per file or file split) sent to every executor; more are joined by shuffle
+BROADCAST_ROWS = 1_000_000
+
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", schema: T.StructType | str | None = None, **options: object) -> DataFrame:
     """Delimited file with a header; types are inferred unless a schema is given.
@@ -140,13 +145,20 @@ def list_outputs(spark: SparkSession, path: str) -> DataFrame:
     return files.load(path).select("path", "length")
 
 
+def _broadcast_checked(small: DataFrame, name: str) -> DataFrame:
+    """Store a side and broadcast it when it has at most ``BROADCAST_ROWS`` rows."""
+    stored = materialize(small, name)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:
     """Text lines with their 1-based number in the file: (path, line_no, line).
 
     A line's number is its position in the file split plus the lines of earlier
     splits, so a large file is numbered by many tasks and its text not shuffled.
+    Lines are stored once with their split, as the splits of two reads may differ.
     """
-    lines = (
+    placed = (
         spark.read.options(**options)
         .text(path)
         .select(
@@ -156,13 +168,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str], **options: object
             F.col("value").alias("line"),
         )
     )
+    lines = materialize(placed, "lines")
     earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         lines.groupBy("path", "_start")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
         .select("path", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    return lines.join(splits, ["path", "_start"]).select(
+    return lines.join(_broadcast_checked(splits, "splits"), ["path", "_start"]).select(
         "path", (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias("line_no"), "line"
     )
 
@@ -191,7 +204,7 @@ def extract_token(lines: DataFrame, line_no: int = 3, field: int = 6) -> DataFra
 def tail_lines(lines: DataFrame, n: int = 5) -> DataFrame:
     """The last ``n`` lines of every file, found from the file's line count."""
     last = lines.groupBy("path").agg(F.max("line_no").alias("_last"))
-    return lines.join(last, "path").filter(F.col("line_no") > F.col("_last") - n).select("path", "line_no", "line")
+    return lines.join(_broadcast_checked(last, "last"), "path").filter(F.col("line_no") > F.col("_last") - n).select("path", "line_no", "line")
 
 
 def plain_path(path: Column) -> Column:
