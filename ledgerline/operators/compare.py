@@ -383,26 +383,19 @@ def report_rows(left: DataFrame, right: DataFrame, spec: CompareSpec, top: int |
     )
 
 
-def compare_by_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Long cell diff where one right row meets every left row of the same id.
+def match_one_to_many(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Every left row with the right row of its id: (row_id, l, r) with both rows as structs.
 
-    NULL ids are skipped; a right id that is not unique stops the query. Column
-    names are those common to both sides apart from the ids.
+    NULL ids are skipped; a right id that is not unique stops the query.
     """
     for df, name in ((left, left_id), (right, right_id)):
         if name not in df.columns:
             raise ValueError(f"id column {name!r} is missing")
-    columns = sorted({c for c in left.columns if c != left_id} & {c for c in right.columns if c != right_id})
-    if not columns:
-        raise ValueError("no common columns to compare")
-    types = {c: common_type(left.schema[c].dataType, right.schema[c].dataType) for c in columns}
     id_type = common_type(left.schema[left_id].dataType, right.schema[right_id].dataType)
 
     def side(df: DataFrame, id_column: str, name: str) -> DataFrame:
-        return df.filter(F.col(id_column).isNotNull()).select(
-            F.col(id_column).cast(id_type).alias("row_id"),
-            F.struct(*[F.col(c).cast(types[c]).alias(c) for c in columns]).alias(name),
-        )
+        row = F.struct(*[c for c in df.columns if c != id_column]).alias(name)
+        return df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast(id_type).alias("row_id"), row)
 
     unique = (
         side(right, right_id, "r")
@@ -411,9 +404,24 @@ def compare_by_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str
         .filter(F.expr("assert_true(_n = 1, 'an id of the right side is not unique') IS NULL"))
         .drop("_n")
     )
+    return side(left, left_id, "l").join(unique, "row_id")
+
+
+def compare_by_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Long cell diff where one right row meets every left row of the same id.
+
+    Compared are the columns common to both sides apart from the ids.
+    """
+    columns = sorted({c for c in left.columns if c != left_id} & {c for c in right.columns if c != right_id})
+    if not columns:
+        raise ValueError("no common columns to compare")
+    types = {c: common_type(left.schema[c].dataType, right.schema[c].dataType) for c in columns}
+
+    def typed(df: DataFrame, id_column: str) -> DataFrame:
+        return df.select(id_column, *[F.col(c).cast(types[c]).alias(c) for c in columns])
+
     return (
-        side(left, left_id, "l")
-        .join(unique, "row_id")
+        match_one_to_many(typed(left, left_id), typed(right, right_id), left_id, right_id)
         .select("row_id", F.explode(_cells(columns, [])).alias("_cell"))
         .select("row_id", "_cell.column", "_cell.left_value", "_cell.right_value")
     )

@@ -46,6 +46,16 @@ def intersect_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     return text(left, "left_").join(text(right, "right_"), list(keys))
 
 
+def self_join_step(edges: DataFrame, closure: DataFrame, child: str, parent: str) -> DataFrame:
+    """One step up a hierarchy: the children of every reportee with the reportee's managers."""
+    up = closure.select(F.col("reportee_id").alias("_middle"), "manager_id")
+    return (
+        edges.join(up, edges[parent] == up["_middle"])
+        .select(F.col(child).alias("reportee_id"), "manager_id")
+        .distinct()
+    )
+
+
 def join_zero_stripped(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Match text keys that are equal apart from leading and trailing zeros."""
     ours = left.withColumn("_stripped", strip_zeros(F.col(left_key)))

@@ -184,6 +184,16 @@ query(
        UNION ALL SELECT row_id, 'status', ls, rs FROM j WHERE ls <> rs""",
 )(lambda t: compare.compare_by_id(*by_id_sides(t), "lid", "rid"))
 
+query(
+    "match_one_to_many",
+    """SELECT o_orderkey AS row_id, l_linestatus AS left_status, o_orderstatus AS right_status, o_orderdate
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)(
+    lambda t: compare.match_one_to_many(*by_id_sides(t), "lid", "rid").select(
+        "row_id", F.col("l.status").alias("left_status"), F.col("r.status").alias("right_status"), "r.o_orderdate"
+    )
+)
+
 query(
     "id_row_counts",
     "SELECT count(*) AS left_rows, (SELECT count(*) FROM orders) AS right_rows, count(*) = (SELECT count(*) FROM orders) AS match FROM lineitem",

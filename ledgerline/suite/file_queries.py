@@ -80,6 +80,38 @@ def parquet_round_trip(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+@query("append", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT s_suppkey, s_suppkey FROM supplier")
+def append(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "append")
+    sinks.write_parquet(t.orders.select("o_orderkey", "o_custkey"), path)
+    key = F.col("s_suppkey")
+    sinks.write_parquet(t.supplier.select(key.alias("o_orderkey"), key.alias("o_custkey")), path, "append")
+    return t.spark.read.parquet(path)
+
+
+class CountingSink:
+    """A sink that keeps nothing; stands in for a database connection."""
+
+    def write(self, batch):
+        self.pending = len(batch)
+
+    def commit(self):
+        self.pending = 0
+
+    def rollback(self):
+        self.pending = 0
+
+    def close(self):
+        assert self.pending == 0
+
+
+query("write_partitions", "SELECT CAST(count(*) AS BIGINT) AS rows FROM lineitem")(
+    lambda t: sinks.write_partitions(t.lineitem.select("l_orderkey", "l_linenumber"), CountingSink, 1000).agg(
+        F.sum("rows").alias("rows")
+    )
+)
+
+
 @query(
     "run_dated",
     "SELECT '01312024' AS run_date, o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
@@ -374,7 +406,7 @@ query(
 
 query(
     "components_of_hubs",
-    """SELECT s_suppkey AS id, -1 - s_nationkey AS component FROM supplier
+    """SELECT s_suppkey AS id, CAST(-1 - s_nationkey AS BIGINT) AS component FROM supplier
        UNION ALL SELECT DISTINCT -1 - s_nationkey, -1 - s_nationkey FROM supplier""",
 )(
     lambda t: graph.connected_components(

@@ -102,6 +102,22 @@ query(
 )
 
 
+@query(
+    "self_join_step",
+    """SELECT DISTINCT a.c_custkey AS reportee_id, b.c_custkey // 4 AS manager_id
+       FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey // 4""",
+)
+def self_join_step(t: Tables) -> DataFrame:
+    edges = t.customer.select(F.col("c_custkey").alias("user_id"), F.floor(F.col("c_custkey") / 4).alias("mgr_id"))
+    return joins.self_join_step(edges, edges.toDF("reportee_id", "manager_id"), "user_id", "mgr_id")
+
+
+query(
+    "sorted_keys",
+    "SELECT l_suppkey, count(*) AS size FROM lineitem GROUP BY l_suppkey ORDER BY size DESC, l_suppkey",
+)(lambda t: line_counts(t).orderBy(F.col("size").desc(), "l_suppkey"))
+
+
 def landing(t: Tables) -> DataFrame:
     """Changes derived from all customers: updates, repeated keys, new keys, NULL keys."""
     key = F.col("c_custkey")
