@@ -100,7 +100,11 @@ def sync_split(prod: DataFrame, landing: DataFrame, keys: Sequence[str], as_of:
 
 
 def sync_with_archive(spark: SparkSession, tables: Sequence[SyncTable], as_of: datetime.date) -> DataFrame:
-    """Archive and delete per table: (table, status, deleted, remaining)."""
+    """Archive and delete per table: (table, status, deleted, remaining).
+
+    The archive is written before the table is swapped. After a failure in between
+    a rerun finds the same deleted rows and archives them again under its date.
+    """
     rows = []
     for t in tables:
         if not t.keys:

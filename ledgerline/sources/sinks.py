@@ -34,7 +34,11 @@ def ensure_table(spark: SparkSession, name: str, schema: T.StructType) -> bool:
 
 
 def swap_table(df: DataFrame, name: str) -> None:
-    """Replace a table by a new state that may be computed from the table itself."""
+    """Replace a table by a new state that may be computed from the table itself.
+
+    The state is written beside the table first. Between drop and rename readers
+    find no table; the new state is complete by then.
+    """
     spark = df.sparkSession
     staged = f"{name}__next"
     df.write.mode("overwrite").saveAsTable(staged)

@@ -92,6 +92,8 @@ def append(t: Tables) -> DataFrame:
 class CountingSink:
     """A sink that keeps nothing; stands in for a database connection."""
 
+    pending = 0
+
     def write(self, batch):
         self.pending = len(batch)
 
