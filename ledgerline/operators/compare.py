@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerline.functions.values import common_type, differs
 from ledgerline.operators.rows import join_on, sample_per_group
+from ledgerline.session import materialize
 
 #: longest list of ignored keys sent to every executor
 IGNORE_BROADCAST_ROWS = 100_000
@@ -386,7 +387,9 @@ def report_rows(left: DataFrame, right: DataFrame, spec: CompareSpec, top: int |
 def match_one_to_many(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """Every left row with the right row of its id: (row_id, l, r) with both rows as structs.
 
-    NULL ids are skipped; a right id that is not unique stops the query.
+    NULL ids are skipped; a right id that is not unique is an error. The unique
+    right rows are stored first: their size then decides the join, and a left id
+    held by many rows can be split.
     """
     for df, name in ((left, left_id), (right, right_id)):
         if name not in df.columns:
@@ -404,7 +407,7 @@ def match_one_to_many(left: DataFrame, right: DataFrame, left_id: str, right_id:
         .filter(F.expr("assert_true(_n = 1, 'an id of the right side is not unique') IS NULL"))
         .drop("_n")
     )
-    return side(left, left_id, "l").join(unique, "row_id")
+    return side(left, left_id, "l").join(materialize(unique, "unique"), "row_id")
 
 
 def compare_by_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:

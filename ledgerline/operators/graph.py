@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.operators.rows import global_rank
+from ledgerline.operators.rows import global_rank, join_on
 from ledgerline.session import materialize
 
 MAX_ROUNDS = 64
@@ -64,19 +64,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     )
     for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        smallest = both.groupBy("v").agg(F.min("u").alias("_m")).select(F.col("v").alias("_c"), F.least("v", "_m").alias("_m"))
+        smallest = both.groupBy("v").agg(F.min("u").alias("_m")).select("v", F.least("v", "_m").alias("_m"))
         # every larger neighbour of a vertex is linked to the smallest vertex around it
         large = (
-            both.join(smallest, both["v"] == smallest["_c"])
+            join_on(both, smallest, ["v"])
             .filter(F.col("u") > F.col("v"))
             .select(F.col("u").alias("v"), F.col("_m").alias("u"))
             .distinct()
         )
         # read twice below; both readers share the shuffle of the distinct edges
-        lowest = large.groupBy("v").agg(F.min("u").alias("_m")).withColumnRenamed("v", "_c")
+        lowest = large.groupBy("v").agg(F.min("u").alias("_m"))
         # the smaller neighbours of a vertex, and the vertex itself, are linked to the smallest of them
         small = (
-            large.join(lowest, large["v"] == lowest["_c"])
+            join_on(large, lowest, ["v"])
             .select(F.explode(F.array(F.struct("u", "_m"), F.struct(F.col("v").alias("u"), "_m"))).alias("_e"))
             .select(F.col("_e.u").alias("v"), F.col("_e._m").alias("u"))
             .filter("v <> u")

@@ -1,4 +1,10 @@
-"""Joins on keys. Catalyst and AQE pick the physical join and split skewed sides."""
+"""Joins on keys. Catalyst and AQE pick the physical join and split skewed sides.
+
+AQE splits a hot key only where both join inputs come straight from a shuffle.
+Existence joins therefore go through ``join_on``: its key expressions differ from
+those the distinct keys were grouped by, so those are shuffled again (they are
+few) and the side holding the hot key can be split.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions.text import strip_zeros
+from ledgerline.operators.rows import join_on
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
@@ -14,6 +21,11 @@ def distinct_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str] | Non
     return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names or keys)]).distinct()
 
 
+def _complete_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """Distinct keys without NULLs, against which a NULL key matches nothing."""
+    return distinct_keys(df.dropna(subset=list(keys)), keys, names)
+
+
 def join_inner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join on shared key columns."""
     return left.join(right, list(keys), "inner")
@@ -21,18 +33,17 @@ def join_inner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 def new_keys(left: DataFrame, processed: DataFrame, left_key: str, processed_key: str) -> DataFrame:
     """Rows whose key was not processed yet; the key columns may have different names."""
-    done = distinct_keys(processed, [processed_key], ["_done"])
-    return left.join(done, left[left_key] == done["_done"], "left_anti")
+    return join_on(left, _complete_keys(processed, [processed_key], [left_key]), [left_key], "left_anti")
 
 
 def anti_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key the right side lacks; a NULL key never matches, so it is kept."""
-    return left.join(distinct_keys(right, keys), list(keys), "left_anti")
+    return join_on(left, _complete_keys(right, keys), keys, "left_anti")
 
 
 def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str] | None = None) -> DataFrame:
     """Rows whose key occurs on the right side."""
-    return left.join(distinct_keys(right, right_keys or keys, keys), list(keys), "left_semi")
+    return join_on(left, _complete_keys(right, right_keys or keys, keys), keys, "left_semi")
 
 
 def intersect_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from ledgerline.operators import clean, joins, maintain
+from ledgerline.operators.compare import match_one_to_many
 from ledgerline.plans.load import SyncTable, sync_with_archive
 from ledgerline.sources import sinks
 
@@ -55,6 +56,38 @@ def test_small_source_leaves_a_large_target_unshuffled(spark):
     assert "BroadcastHashJoin" in plan
 
 
+def test_hot_keys_are_split_in_joins(spark):
+    """With every join shuffled, the side holding a hot key is read in slices."""
+    settings_used = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings_used}
+    for k, v in settings_used.items():
+        spark.conf.set(k, v)
+    try:
+        hot = spark.range(0, 90_000, 1, 6).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+        other = spark.range(0, 90_000, 2, 6).selectExpr("id AS k", "id AS w")
+        odd = other.withColumn("k", F.col("k") + 1)
+        joined = {
+            "semi": (joins.semi_join(hot, odd, ["k"]), 30_000 + 30_000),
+            "anti": (joins.anti_by_key(hot, odd, ["k"]), 30_000),
+            "one_to_many": (match_one_to_many(hot, odd, "k", "k"), 30_000 + 30_000),
+            "upsert": (maintain.upsert(hot, odd.withColumnRenamed("w", "v"), ["k"]), 90_000 + 15_000),
+        }
+        for name, (df, count) in joined.items():
+            assert len(df.collect()) == count, name
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "skew=true" in plan, name
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.one_of(st.none(), st.integers(0, 8)), max_size=10),
