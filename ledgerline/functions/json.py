@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, functions as F
 
 PERSON_ARRAY = "array<struct<name:string,age:int,dob:date>>"
 
 
-def row_json(columns: Sequence[Column] | None = None) -> Column:
-    """One JSON object per row, NULL fields left out."""
-    return F.to_json(F.struct(*columns) if columns else F.struct("*"))
-
-
-def named_attributes(
-    text: Column, names: Sequence[str], fields: Sequence[str] = ("age", "dob"), schema: str = PERSON_ARRAY
-) -> list[Column]:
-    """Columns ``<name>_<field>`` from a JSON array of named objects.
-
-    The last object of a name wins; missing names and bad JSON give NULLs.
-    """
-    items = F.from_json(text, schema)
-
-    def last_of(name: str) -> Column:
-        return F.try_element_at(F.filter(items, lambda item: item["name"] == name), F.lit(-1))
-
-    return [last_of(n)[f].alias(f"{n}_{f}") for n in names for f in fields]
+def last_named(items: Column, name: str) -> Column:
+    """The last object called ``name`` in an array of objects, or NULL."""
+    return F.try_element_at(F.filter(items, lambda item: item["name"] == name), F.lit(-1))
 
 
 def base64_text(data: Column) -> Column:

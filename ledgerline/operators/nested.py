@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerline.functions.json import PERSON_ARRAY, last_named
 from ledgerline.operators.rows import global_rank, join_on, pieces, replicate
 
 #: items per array; a larger group is delivered in several pieces
@@ -98,6 +99,24 @@ def name_conflicts(df: DataFrame, group: str, name: str, listed: DataFrame, max_
     return good.unionByName(bad)
 
 
+def named_attributes(
+    df: DataFrame,
+    column: str,
+    names: Sequence[str],
+    fields: Sequence[str] = ("age", "dob"),
+    schema: str = PERSON_ARRAY,
+) -> DataFrame:
+    """Replace a JSON array of named objects by columns ``<name>_<field>``.
+
+    The last object of a name wins; missing names and bad JSON give NULLs. The
+    text is parsed once per row, in a projection of its own.
+    """
+    kept = [c for c in df.columns if c != column]
+    parsed = df.select(*kept, F.from_json(column, schema).alias("_items"))
+    found = parsed.select(*kept, *[last_named(F.col("_items"), n).alias(f"_{n}") for n in names])
+    return found.select(*kept, *[F.col(f"_{n}.{f}").alias(f"{n}_{f}") for n in names for f in fields])
+
+
 def row_cells(cells: DataFrame, row_key: str) -> DataFrame:
     """Cells (row_key, family, qualifier, value) of one row."""
     return cells.filter(F.col("row_key") == F.lit(row_key))

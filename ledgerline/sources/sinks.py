@@ -75,7 +75,10 @@ def delimited_line(df: DataFrame, sep: str = "|", null_token: str = "") -> Colum
 
 
 def export_delimited(df: DataFrame, path: str, sep: str = "|", null_token: str = "", mode: str = "errorifexists") -> None:
-    """Headerless lines; NULL is written as ``null_token``."""
+    """Headerless lines; NULL is written as ``null_token``.
+
+    Values are not escaped: clean the separator and line breaks out of them first.
+    """
     df.select(delimited_line(df, sep, null_token).alias("value")).write.mode(mode).text(path)
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions import callbacks, text
-from ledgerline.functions.json import named_attributes
 from ledgerline.functions.values import flag_eq
 from ledgerline.operators import clean, nested
 from ledgerline.operators.clean import CleanRules, TargetColumn
@@ -326,7 +325,7 @@ query(
         CASE WHEN event_id % 4 = 0 THEN DATE '1992-01-15' END AS John_dob,
         CASE WHEN event_id % 4 <= 1 THEN CAST(event_id % 90 + 1 AS INT) END AS Darth_age,
         CASE WHEN event_id % 4 <= 1 THEN DATE '1982-05-25' END AS Darth_dob FROM events""",
-)(lambda t: people(t).select("event_id", *named_attributes(F.col("json_data"), ["John", "Darth"])))
+)(lambda t: nested.named_attributes(people(t), "json_data", ["John", "Darth"]))
 
 query(
     "union_by_name",

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import callbacks, text, values
-from ledgerline.functions.json import named_attributes
 from ledgerline.operators import clean, logs, nested
 from ledgerline.operators.clean import CleanRules, TargetColumn
 from ledgerline.plans.load import clean_rows
@@ -85,7 +84,7 @@ def test_json_attributes(spark, rows):
         ("None", None),
     ]
     df = spark.createDataFrame(data, "name string, json_data string")
-    got = rows(df.select("name", *named_attributes(F.col("json_data"), ["John", "Darth"])))
+    got = rows(nested.named_attributes(df, "json_data", ["John", "Darth"]))
     day = datetime.date
     assert got == [
         ("Alice", None, None, None, None),
