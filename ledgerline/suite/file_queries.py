@@ -481,7 +481,7 @@ query(
     f"""WITH {MESSAGES} SELECT state, error, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published, count(*) AS n FROM decoded GROUP BY ALL""",
 )(
     lambda t: streamed(t)
-    .groupBy("state", "error", F.date_format(F.col("publish_time"), "yyyy-MM-dd HH:mm:ss").alias("published"))
+    .groupBy("state", "error", F.date_format(F.to_utc_timestamp("publish_time", F.current_timezone()), logs.TIME_FORMAT).alias("published"))
     .agg(F.count(F.lit(1)).alias("n"))
 )
 
