@@ -73,17 +73,16 @@ def url_filters(t):
 
 
 def _kind_sql(kind: str, number: int, find: str, group: int, least: int) -> str:
-    value = "w" if group == 0 else f"unnest(regexp_extract_all(text, $${find}$$, {group}))"
     return f"""
   {kind}_all AS (
-    SELECT doc_id, '{kind}' AS kind, {number} AS rule, at, length(gap) AS gap, length(w) AS len, length({"v" if group else "w"}) >= {least} AS kept
-    FROM (SELECT doc_id, generate_subscripts(ws, 1) AS at, unnest(ws) AS w, unnest(vs) AS v, unnest(gaps) AS gap
+    SELECT doc_id, '{kind}' AS kind, {number} AS rule, pos, length(gap) AS gap, length(w) AS len, length({"v" if group else "w"}) >= {least} AS kept
+    FROM (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w, unnest(vs) AS v, unnest(gaps) AS gap
           FROM (SELECT doc_id, regexp_extract_all(text, $re${find}$re$) AS ws, regexp_extract_all(text, $re${find}$re$, {group}) AS vs,
                        string_split_regex(text, $re${find}$re$)[: len(regexp_extract_all(text, $re${find}$re$))] AS gaps
                 FROM texts WHERE regexp_matches(text, $re${find}$re$)))),
   {kind} AS (
     SELECT doc_id, kind, rule, s AS start, s + len AS stop FROM (
-      SELECT *, sum(gap + len) OVER (PARTITION BY doc_id ORDER BY at) - len AS s FROM {kind}_all) WHERE kept)"""
+      SELECT *, sum(gap + len) OVER (PARTITION BY doc_id ORDER BY pos) - len AS s FROM {kind}_all) WHERE kept)"""
 
 
 _ANY_CASE = "".join
