@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from ledgerline.llm import native_queries  # noqa: F401
+from ledgerline.llm import classifier_queries, join_queries, native_queries, text_queries, vector_queries  # noqa: F401
 from ledgerline.llm.registry import ORACLES, QUERIES  # noqa: F401
