@@ -9,8 +9,8 @@ cosines to all of them are computed in blocks, and the nearest vote with their s
 
 Defined results: NULL and empty texts, and texts without any known term, get the
 sample's share of label 1. Without labels every score is 0.5; with one class the score is that
-class. Neighbours equally near are taken in the sample's order. Repeated rows get
-equal scores. Only ``text`` enters a score; all columns stay, in ``quality_scores``
+class. Neighbours equally near are taken in the sample's order. Scores are rounded
+to six digits; repeated rows get equal scores up to that rounding. Only ``text`` enters a score; all columns stay, in ``quality_scores``
 with the score added under the given name.
 """
 
@@ -113,7 +113,7 @@ class Model:
         weight = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 0) ** SHARPNESS
         total = weight.sum(axis=1)
         vote = (weight * self.labels[top]).sum(axis=1)
-        return np.divide(vote, total, out=np.full(len(terms), rate), where=total > 0).clip(0, 1)
+        return np.divide(vote, total, out=np.full(len(terms), rate), where=total > 0).clip(0, 1).round(6)
 
 
 def fit(terms: np.ndarray, labels: np.ndarray, directions: int = DIRECTIONS, neighbours: int = NEIGHBOURS) -> Model:

@@ -105,10 +105,9 @@ def test_common_blocks_are_left_out(documents, prose):
 def test_repeated_rows_ids_and_missing_ids(documents, prose):
     a, b, c = prose(50, 1), prose(50, 2), prose(50, 3)
     data = [(5, a)] * 3 + [(5, b), (9, b), (7, c), (None, c), (None, prose(50, 4)), (None, None)]
-    found = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in near_copy_classes(documents(data)).collect())
-    assert found == [(0, 0, None), (0, 46, None), (0, 46, 7), (5, 46, 5), (5, 46, 5), (5, 46, 5), (5, 46, 5), (7, 46, 7), (9, 46, 5)] or [
-        (r[0], r[1], str(r[2])) for r in found
-    ] == [(0, 0, "None"), (0, 46, "7"), (0, 46, "None"), *[(5, 46, "5")] * 4, (7, 46, "7"), (9, 46, "5")]
+    found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_copy_classes(documents(data)).collect())
+    missing = [("None", 0, "None"), ("None", 46, "7"), ("None", 46, "None")]
+    assert found == [("5", 46, "5")] * 4 + [("7", 46, "7"), ("9", 46, "5")] + missing
 
 
 def test_first_of_each_class(documents, prose):
@@ -144,9 +143,8 @@ def test_bands_of_possible_partners_meet():
     for a in range(1, 400):
         for b in range(a, a * 5 // 4 + 1):
             both = {x[:2]: x[2] for x in bands(a)}.keys() & {x[:2]: x[2] for x in bands(b)}.keys()
-            assert both
-            for band in both:
-                assert min(dict((x[:2], x[2]) for x in bands(n))[band] for n in (a, b)) >= most_different(a, b)
+            bounds = [{x[:2]: x[2] for x in bands(n)} for n in (a, b)]
+            assert any(min(x[band] for x in bounds) >= most_different(a, b) for band in both)
 
 
 def test_word_hashes_follow_words():
