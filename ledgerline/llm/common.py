@@ -55,6 +55,18 @@ def running_totals(
     )
 
 
+#: rows of a few numbers that may be sent to every executor: about 16 MB
+BROADCAST_ROWS = 500_000
+
+
+def sized(stored: DataFrame) -> DataFrame:
+    """A stored frame of a few number columns, to be broadcast if it has at most ``BROADCAST_ROWS`` rows.
+
+    Beyond that it is joined by a shuffle, with the same result.
+    """
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def process_cache(name: str, build: Callable[[], object]) -> object:
     """Build once per Python process and keep it.
 

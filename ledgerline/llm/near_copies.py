@@ -12,9 +12,9 @@ are joined on the words of equal blocks, per band of sizes, and verified exactly
 Two bands are used per set. The own band holds the sizes from a power of two to the next;
 the edge band joins sizes on both sides of a power of two. A set that uses too few blocks for the
 principle also joins the band's group of such sets, as a pair without a common block
-consists of two of them. A set may leave out its most common blocks, as many as it
-uses beyond the bound and one more: the rarest block of a pair always stays. So a
-passage that many texts share makes no large groups.
+consists of two of them. A set leaves out its most common blocks, as many as it
+uses beyond the bound and one more: the rarest block of a pair always stays. So
+passages that texts share make no groups unless they are most of the texts.
 
 Equal sets are one node, named by its smallest id. Within a group of a block, nodes are
 compared with a few pivots per round, never all with all; a member that is not in the first
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerline.llm.common import sized
 from ledgerline.llm.words import blocks, mix64, shingle_hashes, word_hashes
 from ledgerline.operators.graph import connected_components
 from ledgerline.session import materialize
@@ -41,13 +42,11 @@ from ledgerline.session import materialize
 #: words in a shingle; links have a similarity of P/Q or more
 SHINGLE, P, Q = 5, 4, 5
 #: 64-bit words of the short bit sketch
-SKETCH_WORDS = 16
-#: group size from which a block counts as common
-COMMON = 32
+SKETCH_WORDS = 32
 #: blocks per smallest size of a band, for both kinds of bands
 OWN_BLOCKS, EDGE_BLOCKS = 0.56, 0.28
 #: pivots per group in the first round, and the factor from round to round
-PIVOTS, PIVOT_GROWTH = 1, 4
+PIVOTS, PIVOT_GROWTH = 1, 31
 
 _OWN, _EDGE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -117,9 +116,9 @@ def _long(x) -> int:
 
 
 def set_sizes(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
-    """Every row's id and text hash, set size, a 128-bit name of the set, and its spare blocks in both bands."""
+    """Every row's id and text hash, set size, a 128-bit name of the set, its spare blocks in both bands, its bit sketch."""
     names = ("doc_id", "text_hash", "n_shingles", "s1", "s2", "spare0", "spare1")
-    schema = pa.schema([(c, pa.int64()) for c in names])
+    schema = pa.schema([*[(c, pa.int64()) for c in names], ("sketch", pa.list_(pa.int64()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,12 +126,12 @@ def set_sizes(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> D
             for (doc_id, tokens), text_hash in zip(_token_sets(batch, size), batch.column(2).to_pylist()):
                 spare = band_keys(tokens, p, q)[1] if len(tokens) else (0, 0)
                 name = (_long(np.bitwise_xor.reduce(mix64(tokens))), _long(mix64(tokens + np.uint64(7)).sum())) if len(tokens) else (0, 0)
-                rows.append((doc_id, text_hash, len(tokens), *name, *spare))
+                rows.append((doc_id, text_hash, len(tokens), *name, *spare, bit_sketch(tokens).view(np.int64)))
             columns = zip(*rows) if rows else [()] * len(schema)
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=schema)
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return texts.mapInArrow(measure, ", ".join(f"{f.name} long" for f in schema))
+    return texts.mapInArrow(measure, ", ".join(f"{c} long" for c in names) + ", sketch array<long>")
 
 
 def node_keys(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
@@ -153,42 +152,50 @@ def node_keys(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> D
 
 
 def node_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(node, n, sketch, tokens) of every row; ``docs`` has ``node`` and ``text``."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+    """(node, tokens) of every row; ``docs`` has ``node`` and ``text``."""
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, len(t), bit_sketch(t).view(np.int64), t.view(np.int64)) for n, t in _token_sets(batch, size)]
+            rows = [(n, t.view(np.int64)) for n, t in _token_sets(batch, size)]
             for i in range(0, max(len(rows), 1), 256):
-                columns = zip(*rows[i : i + 256]) if rows else [()] * 4
+                columns = zip(*rows[i : i + 256]) if rows else [()] * 2
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select("node", "text").mapInArrow(gather, "node long, n long, sketch array<long>, tokens array<long>")
+    return docs.select("node", "text").mapInArrow(gather, "node long, tokens array<long>")
 
 
-def _pair_links(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: first by size and bit sketch, then by their tokens."""
-    sides = {x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "tokens")]) for x in "ab"}
-    slim = {x: d.drop(f"tokens_{x}") for x, d in sides.items()}
+def _pair_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link: first by set size and bit sketch, then by their tokens.
+
+    Only the texts of nodes in pairs that pass the first test are read for their tokens.
+    """
+    sides = {x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
     total = F.col("n_a") + F.col("n_b")
     apart = F.aggregate(
         F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int")
     )
     near = (
-        pairs.join(slim["a"], "a")
-        .join(slim["b"], "b")
+        pairs.join(sides["a"], "a")
+        .join(sides["b"], "b")
         .filter((F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p) & (apart * (q + p) <= total * (q - p)))
         .select("a", "b")
         .distinct()
     )
+    near = materialize(near, "near")
+    named = materialize(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "named")
+    tokens = materialize(node_sets(texts.join(sized(named), "node", "left_semi"), size), "tokens")
+    x, y = (tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
     common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    return near.join(sides["a"], "a").join(sides["b"], "b").filter(common * q >= (total - common) * p).select("a", "b").distinct()
+    union = F.size("tokens_a").cast("long") + F.size("tokens_b") - common
+    return near.join(x, "a").join(y, "b").filter(common * q >= union * p).select("a", "b").distinct()
 
 
-def block_groups(keys: DataFrame, spare: DataFrame, common: int = COMMON) -> DataFrame:
-    """(key, node) of all blocks shared by several nodes, common ones left out as far as allowed.
+def block_groups(keys: DataFrame, spare: DataFrame) -> DataFrame:
+    """(key, node) of the blocks shared by several nodes that stay when every node has left out its most common ones.
 
-    One shuffle brings the keys together; what is left afterwards is small.
+    One shuffle brings the keys together; only shared ones go on. A node's blocks are ordered by how many
+    nodes share them, then by key, alike for all nodes; those that nobody shares come last and always stay.
     """
     group = Window.partitionBy("key")
     shared = (
@@ -197,22 +204,20 @@ def block_groups(keys: DataFrame, spare: DataFrame, common: int = COMMON) -> Dat
         .filter("held > 1")
     )
     shared = materialize(shared, "shared")
-    hot = shared.filter(F.col("held") > common).join(spare, "node")
     allowed = F.when(F.col("key") % 2 == 0, F.col("spare0")).otherwise(F.col("spare1"))
     rank = F.row_number().over(Window.partitionBy("node", F.col("key") % 2).orderBy(F.desc("held"), "key"))
-    kept = hot.withColumn("_rank", rank).filter(F.col("_rank") > allowed).select("key", "node")
-    rows = shared.filter(F.col("held") <= common).select("key", "node").unionByName(kept).distinct()
+    rows = shared.withColumn("_rank", rank).join(spare, "node").filter(F.col("_rank") > allowed).select("key", "node").distinct()
     rows = materialize(rows, "rows")
     # groups with the same members are one
     member = F.xxhash64("node")
     groups = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 8)).alias("y")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 32)).alias("y")
     )
     chosen = groups.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     return rows.join(materialize(chosen.select("key"), "groups"), "key").select("key", "node")
 
 
-def linked_nodes(groups: DataFrame, sets: DataFrame, p: int = P, q: int = Q) -> DataFrame:
+def linked_nodes(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
     """(node, component) of all nodes in groups; components are those of all links within groups."""
     members = materialize(groups.withColumn("done", F.lit(False)), "members")
     nodes = materialize(members.select("node").distinct(), "nodes")
@@ -235,7 +240,7 @@ def linked_nodes(groups: DataFrame, sets: DataFrame, p: int = P, q: int = Q) ->
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
             .distinct()
         )
-        found = _pair_links(materialize(pairs, "pairs"), sets, p, q)
+        found = _pair_links(materialize(pairs, "pairs"), sketches, texts, size, p, q)
         links = materialize(found if links is None else links.unionByName(found), "links")
         components = materialize(connected_components(nodes, links, "node", "a", "b"), "components")
         turned = chosen.select("key", F.col("pivot").alias("node"), F.lit(True).alias("turned"))
@@ -270,14 +275,15 @@ def _classes(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
     others = copied.filter("id <> node OR text_hash <> node_hash").select(F.col("id").alias("node"), "text_hash").distinct()
     others = materialize(others, "others")
     hashed = texts.select(F.col("doc_id").alias("node"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    source = hashed.filter("node IS NOT NULL").join(others, ["node", "text_hash"], "left_anti").select("node", "text")
+    source = hashed.filter("node IS NOT NULL").join(sized(others), ["node", "text_hash"], "left_anti").select("node", "text")
     if not rows.filter("doc_id IS NULL AND n_shingles > 0").isEmpty():
         source = source.unionByName(_named(texts.filter("doc_id IS NULL").select("doc_id", "text"), size))
     groups = block_groups(node_keys(source, size, p, q), nodes.select("node", "spare0", "spare1"))
     groups = materialize(groups, "groups")
-    wanted = materialize(groups.select("node").distinct(), "wanted")
-    sets = materialize(node_sets(source.join(wanted, "node", "left_semi"), size).distinct(), "tokens")
-    linked = linked_nodes(groups, sets, p, q)
+    own = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("node_hash").alias("text_hash"))
+    sketched = rows.select(F.col("id").alias("node"), "text_hash", F.col("n_shingles").alias("n"), "sketch")
+    sketches = materialize(sketched.join(own, ["node", "text_hash"]).select("node", "n", "sketch").distinct(), "sketches")
+    linked = linked_nodes(groups, sketches, source, size, p, q)
     placed = rows.join(nodes.select(*equal, "node"), equal, "left").join(linked, "node", "left")
     placed = placed.select("doc_id", "text_hash", "n_shingles", "id", F.coalesce("component", "node", "id").alias("class"))
     placed = materialize(placed, "classes")
@@ -311,6 +317,7 @@ def first_of_each_class(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int
     judged = placed.filter("n_shingles > 0").join(firsts, "class").select("doc_id", "text_hash", order.eqNullSafe(F.col("first")).alias("stays"))
     pairs = judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
     known = materialize(pairs.filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "dropped")
+    known = sized(known)
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def at(other: DataFrame) -> Column:
