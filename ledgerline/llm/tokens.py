@@ -66,7 +66,6 @@ class Encoder:
             return b"".join(map(kept.__getitem__, words))
         except KeyError:
             missing = self._missing(words, kept)
-            missing = missing if kept else list(set(words))
             for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
                 kept[w] = np.array(e.ids, "<u4").tobytes()
             return b"".join(map(kept.__getitem__, words))
