@@ -13,5 +13,5 @@ def last_named(items: Column, name: str) -> Column:
 
 
 def base64_text(data: Column) -> Column:
-    """UTF-8 text of base64 data; NULL when it is not base64."""
-    return F.try_to_binary(data, F.lit("base64")).cast("string")
+    """UTF-8 text of base64 data; NULL when it is not base64 or its bytes are not UTF-8."""
+    return F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))

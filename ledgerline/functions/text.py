@@ -67,11 +67,3 @@ def is_blank(text: Column) -> Column:
 def path_as_name(path: Column) -> Column:
     """A path usable as a name: ``/`` becomes ``_``."""
     return F.replace(path, F.lit("/"), F.lit("_"))
-
-
-def conflict_text(names: Column, name: Column) -> Column:
-    """'No Conflict' when ``name`` is listed, else 'Conflict with …' naming the others."""
-    others = F.concat_ws(", ", F.filter(names, lambda n: n != name))
-    return F.when(F.array_contains(names, name), F.lit("No Conflict")).otherwise(
-        F.concat(F.lit("Conflict with "), others)
-    )

@@ -15,7 +15,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ledgerline.functions.values import common_type, differs
+from ledgerline.functions.values import common_type, comparable, differs
 from ledgerline.operators.rows import join_on, sample_per_group
 from ledgerline.session import materialize
 
@@ -140,7 +140,7 @@ def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
     def side(df: DataFrame, row: str, count: str) -> DataFrame:
         # NULL keys are told apart by a bit mask, so that a plain equi-join pairs them too
         nulls = reduce(add, [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(spec.keys)])
-        values = [F.col(c).alias(f"_o_{c}") for c in lead] + [F.col(c).cast(types[c]).alias(c) for c in ordered]
+        values = [F.col(c).alias(f"_o_{c}") for c in lead] + [comparable(F.col(c), df.schema[c].dataType, types[c]).alias(c) for c in ordered]
         return (
             df.select(
                 *[F.coalesce(F.col(k).cast(key_types[k]), empty[k]).alias(k) for k in spec.keys],
@@ -398,7 +398,8 @@ def match_one_to_many(left: DataFrame, right: DataFrame, left_id: str, right_id:
 
     def side(df: DataFrame, id_column: str, name: str) -> DataFrame:
         row = F.struct(*[c for c in df.columns if c != id_column]).alias(name)
-        return df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast(id_type).alias("row_id"), row)
+        row_id = comparable(F.col(id_column), df.schema[id_column].dataType, id_type)
+        return df.filter(F.col(id_column).isNotNull()).select(row_id.alias("row_id"), row)
 
     unique = (
         side(right, right_id, "r")
@@ -421,7 +422,7 @@ def compare_by_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     types = {c: common_type(left.schema[c].dataType, right.schema[c].dataType) for c in columns}
 
     def typed(df: DataFrame, id_column: str) -> DataFrame:
-        return df.select(id_column, *[F.col(c).cast(types[c]).alias(c) for c in columns])
+        return df.select(id_column, *[comparable(F.col(c), df.schema[c].dataType, types[c]).alias(c) for c in columns])
 
     return (
         match_one_to_many(typed(left, left_id), typed(right, right_id), left_id, right_id)

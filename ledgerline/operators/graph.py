@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.operators.rows import global_rank, join_on
-from ledgerline.session import materialize
-
-MAX_ROUNDS = 64
+from ledgerline.session import materialize, materialize_with
 
 
 def hierarchy(edges: DataFrame, child: str = "user_id", parent: str = "mgr_id") -> DataFrame:
@@ -28,7 +26,7 @@ def hierarchy(edges: DataFrame, child: str = "user_id", parent: str = "mgr_id")
     )
     reach = jump = materialize(first, "reach")
     known = reach.count()
-    for _ in range(MAX_ROUNDS):
+    while True:
         ahead = reach.withColumnsRenamed({"reportee_id": "_middle", "manager_id": "_manager"})
         further = jump.join(ahead, jump["manager_id"] == ahead["_middle"]).select(
             "reportee_id", F.col("_manager").alias("manager_id")
@@ -45,7 +43,6 @@ def hierarchy(edges: DataFrame, child: str = "user_id", parent: str = "mgr_id")
             "jump",
         )
         reach, known = wider, found
-    raise RuntimeError(f"hierarchy not complete after {MAX_ROUNDS} rounds")
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -55,14 +52,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     the smallest vertex of its component (large-star / small-star, Kiveris et al.
     2014). Hubs only meet in minima and in joins against one row per vertex.
     """
-    links = materialize(
+    # a round that changes no link is the last; what tells links apart is summed while a round is written
+    mark = F.xxhash64("v", "u")
+    totals = [F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 40)).alias("s")]
+    links, state = materialize_with(
         edges.select(F.greatest(src, dst).alias("v"), F.least(src, dst).alias("u"))
         .dropna()
         .filter("v <> u")
         .distinct(),
         "links",
+        *totals,
     )
-    for _ in range(MAX_ROUNDS):
+    before = None
+    while state["n"] and state != before:
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         smallest = both.groupBy("v").agg(F.min("u").alias("_m")).select("v", F.least("v", "_m").alias("_m"))
         # every larger neighbour of a vertex is linked to the smallest vertex around it
@@ -82,19 +84,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
             .filter("v <> u")
             .distinct()
         )
-        links = materialize(small, "links")
-        roles = (
-            links.select(F.col("v").alias("_x"), F.lit(1).alias("_leaf"), F.lit(0).alias("_root"))
-            .unionAll(links.select(F.col("u"), F.lit(0), F.lit(1)))
-            .groupBy("_x")
-            .agg(F.sum("_leaf").alias("_leaf"), F.max("_root").alias("_root"))
-        )
-        if roles.filter("_leaf > 1 OR (_leaf = 1 AND _root = 1)").isEmpty():
-            roots = links.withColumnsRenamed({"v": "_leaf", "u": "_root"})
-            return vertices.join(roots, vertices[vertex] == roots["_leaf"], "left").select(
-                *[vertices[c] for c in vertices.columns], F.coalesce("_root", vertices[vertex]).alias("component")
-            )
-    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
+        before = state
+        links, state = materialize_with(small, "links", *totals)
+    roots = links.withColumnsRenamed({"v": "_leaf", "u": "_root"})
+    return vertices.join(roots, vertices[vertex] == roots["_leaf"], "left").select(
+        *[vertices[c] for c in vertices.columns], F.coalesce("_root", vertices[vertex]).alias("component")
+    )
 
 
 def degrees(edges: DataFrame, src: str = "source_table", dst: str = "dest_table") -> DataFrame:

@@ -46,15 +46,21 @@ def semi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys
     return join_on(left, _complete_keys(right, right_keys or keys, keys), keys, "left_semi")
 
 
-def intersect_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of both sides with equal keys, keys compared as text."""
+def intersect_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], required: bool = False) -> DataFrame:
+    """Rows of both sides with equal keys, keys compared as text.
+
+    ``required`` makes it an error if the sides have no key in common.
+    """
     def text(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(
             *[F.col(k).cast("string").alias(k) for k in keys],
             *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys],
         )
 
-    return text(left, "left_").join(text(right, "right_"), list(keys))
+    joined = text(left, "left_").join(text(right, "right_"), list(keys))
+    if required and joined.select(*keys).isEmpty():
+        raise ValueError(f"the sides have no {', '.join(keys)} in common")
+    return joined
 
 
 def self_join_step(edges: DataFrame, closure: DataFrame, child: str, parent: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Arrays, nested rows and key-value cells, built in bounded pieces."""
+"""Arrays, nested rows and key-value cells, built in bounded pieces.
+
+Whoever asks for arrays, texts or objects names the items per piece; every result has a
+``piece`` column, numbered by the same rule whatever the size of a group. The long
+form, one row per item, is the input itself or ``distinct_items``.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerline.functions.json import PERSON_ARRAY, last_named
 from ledgerline.operators.rows import global_rank, join_on, pieces, replicate
 
-#: items per array; a larger group is delivered in several pieces
-MAX_ITEMS = 100_000
-
-
-def nest_rows(df: DataFrame, key: str, max_items: int = MAX_ITEMS, name: str = "rows") -> DataFrame:
+def nest_rows(df: DataFrame, key: str, max_items: int, name: str = "rows") -> DataFrame:
     """All rows of a key as arrays of structs: (key, piece, rows).
 
     Equal rows are kept once with their number in the field ``copies``. A key
@@ -40,7 +41,7 @@ def unnest_rows(nested: DataFrame, name: str = "rows") -> DataFrame:
     return replicate(nested.select(F.explode(name).alias("_row")).select("_row.*"), "copies")
 
 
-def distinct_values(df: DataFrame, keys: Sequence[str], value: str, max_items: int = MAX_ITEMS, name: str = "values") -> DataFrame:
+def distinct_values(df: DataFrame, keys: Sequence[str], value: str, max_items: int, name: str = "values") -> DataFrame:
     """Sorted distinct values per key as arrays: (keys, piece, values).
 
     Duplicates are removed before the shuffle; a key with more than ``max_items``
@@ -54,12 +55,12 @@ def distinct_values(df: DataFrame, keys: Sequence[str], value: str, max_items: i
     )
 
 
-def distinct_elements(df: DataFrame, keys: Sequence[str], array: Column, max_items: int = MAX_ITEMS, name: str = "values") -> DataFrame:
+def distinct_elements(df: DataFrame, keys: Sequence[str], array: Column, max_items: int, name: str = "values") -> DataFrame:
     """Sorted distinct elements of the arrays of a key."""
     return distinct_values(df.select(*keys, F.explode(array).alias(name)), keys, name, max_items, name)
 
 
-def joined_text(df: DataFrame, keys: Sequence[str], value: str, separator: str = ",", max_items: int = MAX_ITEMS, name: str = "text") -> DataFrame:
+def joined_text(df: DataFrame, keys: Sequence[str], value: str, max_items: int, separator: str = ",", name: str = "text") -> DataFrame:
     """Values of a key joined in sorted order: (keys, piece, text).
 
     A piece covers ``max_items`` consecutive values; joining the pieces of a key
@@ -80,23 +81,30 @@ def joined_text(df: DataFrame, keys: Sequence[str], value: str, separator: str =
     return placed.groupBy(*keys, "piece").agg(F.concat_ws(separator, texts).alias(name))
 
 
-def name_conflicts(df: DataFrame, group: str, name: str, listed: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Whether the name of a row is among the names listed for its group.
+def distinct_items(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Long form of ``distinct_values``: (keys, position, value), positions from 1 in sorted order."""
+    single = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+    ranked = global_rank(single, [*[F.col(k) for k in keys], F.col(value)], "_rank")
+    starts = ranked.groupBy(*keys).agg(F.min("_rank").alias("_start"))
+    return join_on(ranked, starts, keys).select(*keys, (F.col("_rank") - F.col("_start") + 1).alias("position"), value)
 
-    A listed name gives 'No Conflict', found by an existence join. Only the other
-    rows are joined with the list of their group: 'Conflict with a, b', one row
-    per piece of the list. A group without a list conflicts with nobody.
+
+def name_conflicts(df: DataFrame, group: str, name: str, listed: DataFrame, with_text: bool = False) -> DataFrame:
+    """Every row of ``df`` once, with ``conflict``: whether its name is among those listed for its group.
+
+    A listed name gives 'No Conflict', any other 'Conflict'; NULL equals no name and no group. The
+    names behind a conflict are ``distinct_items(listed, [group], name)``. ``with_text`` writes
+    them into one text, 'Conflict with a, b': ask for it only where the list of a group fits a row.
     """
-    known = listed.select(group, name).distinct()
-    marked = join_on(df, known.withColumn("_known", F.lit(True)), [group, name], "left")
-    lists = distinct_values(known, [group], name, max_items, "_names").withColumn(
-        "_text", F.concat_ws(", ", "_names")
-    )
-    good = marked.filter(F.col("_known").isNotNull()).select(*df.columns, F.lit("No Conflict").alias("conflict"))
-    bad = join_on(marked.filter(F.col("_known").isNull()), lists.select(group, "_text"), [group], "left").select(
-        *df.columns, F.concat(F.lit("Conflict with "), F.coalesce("_text", F.lit(""))).alias("conflict")
-    )
-    return good.unionByName(bad)
+    known = listed.select(F.col(group).alias("_group"), F.col(name).alias("_name")).dropna().distinct()
+    found = known.withColumn("_known", F.lit(True))
+    marked = df.join(found, (df[group] == found["_group"]) & (df[name] == found["_name"]), "left").drop("_group", "_name")
+    text = F.lit("Conflict")
+    if with_text:
+        lists = known.groupBy("_group").agg(F.array_join(F.sort_array(F.collect_set("_name")), ", ").alias("_text"))
+        marked = marked.join(lists, marked[group] == lists["_group"], "left").drop("_group")
+        text = F.concat(F.lit("Conflict with "), F.coalesce("_text", F.lit("")))
+    return marked.select(*df.columns, F.when(F.col("_known"), F.lit("No Conflict")).otherwise(text).alias("conflict"))
 
 
 def named_attributes(
@@ -122,7 +130,7 @@ def row_cells(cells: DataFrame, row_key: str) -> DataFrame:
     return cells.filter(F.col("row_key") == F.lit(row_key))
 
 
-def cells_to_json(cells: DataFrame, order: str, max_items: int = MAX_ITEMS) -> DataFrame:
+def cells_to_json(cells: DataFrame, order: str, max_items: int) -> DataFrame:
     """Per row key a JSON object ``family:qualifier`` → value; the last cell by ``order`` wins."""
     column = F.concat_ws(":", "family", "qualifier").alias("_column")
     latest = (

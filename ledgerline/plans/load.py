@@ -6,9 +6,8 @@ import datetime
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.functions.values import sql_type_to_spark
 from ledgerline.operators.clean import (
     CleanRules,
     TargetColumn,
@@ -19,11 +18,11 @@ from ledgerline.operators.clean import (
 )
 from ledgerline.operators.joins import join_inner, new_keys
 from ledgerline.operators.maintain import deleted_keys, upsert_non_key
-from ledgerline.operators.partition import choose_partitions_by_rows
 from ledgerline.operators.quality import validate_counts
-from ledgerline.operators.rows import join_on
-from ledgerline.sources.files import import_delimited, ledger_totals, load_ledger
-from ledgerline.sources.sinks import export_delimited, save_table, swap_table, write_parquet
+from ledgerline.operators.rows import join_on, replicate
+from ledgerline.session import materialize
+from ledgerline.sources.files import ledger_of, ledger_totals, read_delimited
+from ledgerline.sources.sinks import export_delimited, recover_table, save_table, swap_table, write_parquet
 
 
 def clean_rows(
@@ -42,30 +41,24 @@ def clean_for_load(
     rules: CleanRules = CleanRules(),
     sep: str = "^",
     partitions: int | None = None,
-) -> int:
-    """Write cleaned rows as delimited part files; returns the number of partitions.
+) -> None:
+    """Write cleaned rows as escaped part files, in one pass over the input.
 
-    Rows are spread evenly: files per key would put a hot key into one file.
+    There are as many files as the input has partitions, so they grow in number and not in
+    size; ``partitions`` spreads the rows evenly over another number.
     """
     cleaned = clean_rows(df, target, optional, rules)
-    if partitions is None:
-        partitions = choose_partitions_by_rows(df).first().partitions
-    export_delimited(cleaned.repartition(partitions), path, sep)
-    return partitions
-
-
-def target_schema(target: Sequence[TargetColumn]) -> T.StructType:
-    """Spark schema of a load target."""
-    return T.StructType([T.StructField(t.name, sql_type_to_spark(t.sql_type)) for t in target])
+    export_delimited(cleaned if partitions is None else cleaned.repartition(partitions), path, sep)
 
 
 @dataclass(frozen=True)
 class LoadResult:
-    """Landing rows, new table state and the totals of the load ledger."""
+    """Landing rows, new table state, totals of the load ledger, and the lines left out with their error."""
 
     landing: DataFrame
     state: DataFrame
     totals: DataFrame
+    rejects: DataFrame
 
 
 def load_and_upsert(
@@ -76,10 +69,16 @@ def load_and_upsert(
     sep: str = "^",
     order: Sequence[str] = (),
 ) -> LoadResult:
-    """Import part files into landing rows and merge them into ``prod``."""
-    landing = import_delimited(spark, path, prod.schema, sep)
-    totals = ledger_totals(load_ledger(spark, path, prod.schema, sep, quote=""))
-    return LoadResult(landing, upsert_non_key(prod, landing, keys, order), totals)
+    """Import part files into landing rows and merge them into ``prod``.
+
+    The files are read once and the lines stored with their errors. Only good lines with a
+    complete key are merged; the ledger counts these same lines, and the others are the rejects.
+    """
+    rows = materialize(read_delimited(spark, path, prod.schema, sep, keys=keys), "landing")
+    landing = rows.filter("_error IS NULL").select(*prod.columns)
+    rejects = rows.filter("_error IS NOT NULL").select("_file", "_line", "_error")
+    totals = ledger_totals(ledger_of(spark, path, rows, keys[0]))
+    return LoadResult(landing, upsert_non_key(prod, landing, keys, order), totals, rejects)
 
 
 @dataclass(frozen=True)
@@ -99,24 +98,35 @@ def sync_split(prod: DataFrame, landing: DataFrame, keys: Sequence[str], as_of:
     return gone, join_on(prod, missing, keys, "left_anti")
 
 
+def _not_archived(spark: SparkSession, gone: DataFrame, archive: str, as_of: datetime.date) -> DataFrame:
+    """Deleted rows beyond those the archive has for the date: per row value the missing number of copies."""
+    if not spark.catalog.tableExists(archive):
+        return gone
+    there = spark.table(archive).filter(F.col("as_of_dt") == F.lit(as_of)).select(*gone.columns)
+    one = F.lit(1).cast("long")
+    both = gone.withColumn("_n", one).unionAll(there.withColumn("_n", -one))
+    return replicate(both.groupBy(*gone.columns).agg(F.sum("_n").alias("_n")), "_n")
+
+
 def sync_with_archive(spark: SparkSession, tables: Sequence[SyncTable], as_of: datetime.date) -> DataFrame:
     """Archive and delete per table: (table, status, deleted, remaining).
 
-    The archive is written before the table is swapped. After a failure in between
-    a rerun finds the same deleted rows and archives them again under its date.
+    The archive is written before the table is swapped, and only rows that it does not
+    already hold for that date: after a failure in between, a rerun adds none again.
+    Equal rows are told apart by their number, so all copies of a row are archived.
     """
     rows = []
     for t in tables:
         if not t.keys:
             rows.append((t.prod, "skipped: no key", None, None))
             continue
+        recover_table(spark, t.prod)
         prod = spark.table(t.prod)
-        before = prod.count()
         gone, kept = sync_split(prod, spark.table(t.landing), t.keys, as_of)
-        save_table(gone, t.archive)
+        gone = materialize(gone, "gone")
+        save_table(_not_archived(spark, gone, t.archive, as_of), t.archive)
         swap_table(kept, t.prod)
-        remaining = spark.table(t.prod).count()
-        rows.append((t.prod, "synced", before - remaining, remaining))
+        rows.append((t.prod, "synced", gone.count(), spark.table(t.prod).count()))
     return spark.createDataFrame(rows, "table string, status string, deleted long, remaining long")
 
 

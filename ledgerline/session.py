@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,15 +30,36 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Frees what is stored within: use it around an operator and the writing of its result."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the scratch root, removed when the session ends."""
+    """A new, unused path below the scratch root, removed at the end of its scope or session."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return path
 
 
+def materialize_with(df: DataFrame, name: str, *totals: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` together with aggregates over the rows, taken while they are written."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, *totals), name)
+    return stored, seen.get
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ledgerline.session import materialize
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
-#: most rows (one per file or file split) sent to every executor; more are joined by shuffle
-BROADCAST_ROWS = 1_000_000
-
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", schema: T.StructType | str | None = None, **options: object) -> DataFrame:
     """Delimited file with a header; types are inferred unless a schema is given.
@@ -42,52 +40,94 @@ def read_pipe_list(spark: SparkSession, path: str, schema: str = "ticket string,
     return spark.read.schema(schema).csv(path, sep="|")
 
 
+def _existing(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, int]:
+    """Bytes below every path that exists, from the file system's own summary."""
+    conf, found = spark._jsc.hadoopConfiguration(), {}
+    for key, path in paths.items():
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(conf)
+        if fs.exists(place):
+            found[key] = fs.getContentSummary(place).getLength()
+    return found
+
+
+def _source_of(paths: Mapping[str, str]) -> Column:
+    """The key whose path a file is, or lies in."""
+    own = plain_path(uri_path(F.col("_metadata.file_path")))
+    folder = F.regexp_replace(own, "/[^/]*$", "")
+    plain = {re.sub("^file:/+", "/", p.rstrip("/")): k for k, p in paths.items()}
+    by_path = F.create_map(*[F.lit(x) for path, key in plain.items() for x in (path, key)])
+    return F.coalesce(F.try_element_at(by_path, own), F.try_element_at(by_path, folder))
+
+
+def _narrowest(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """For every text column the first of int, long, double and text that holds all its values: one aggregate."""
+    kinds = ("int", "bigint", "double")
+    fits = [
+        F.coalesce(F.bool_and(F.col(c).isNull() | F.col(c).try_cast(k).isNotNull()), F.lit(False)).alias(f"{i}_{k}")
+        for i, c in enumerate(columns)
+        for k in kinds
+    ]
+    held = df.agg(*fits).first()
+    return {c: next((k for k in kinds if held[f"{i}_{k}"]), "string") for i, c in enumerate(columns)}
+
+
 def read_keyed_csvs(
     spark: SparkSession, template: str, keys: Sequence[str], text_columns: Sequence[str], infer: bool = True
 ) -> tuple[DataFrame | None, DataFrame]:
-    """One CSV per key from a path template with ``{key}``: (all rows, rows per key).
+    """One CSV per key from a path template with ``{key}``: (all rows, status per key).
 
-    Key columns are read as text, all columns are kept, ``source_key`` names the
-    source. A source that cannot be read counts 0 rows.
+    Headers of all sources are read in one scan, and sources of one header in one more. Columns are
+    read as text and typed once over all sources, so a column that one source has as number and
+    another as text is text. ``text_columns`` stay text and must be in each header. The status is
+    (source_key, rows, error) with the errors ``missing``, ``empty``, ``no <column>`` and ``no rows``.
     """
-    frames = []
-    for key in keys:
-        path = template.format(key=key)
-        try:
-            names = spark.read.csv(path, header=True).columns
-            typed = read_csv(spark, path) if infer else spark.read.csv(path, header=True)
-        except AnalysisException:
-            continue
-        if not names:
-            continue
-        fields = [
-            T.StructField(f.name, T.StringType() if f.name in text_columns else f.dataType) for f in typed.schema
-        ]
-        df = spark.read.schema(T.StructType(fields)).csv(path, header=True, escape='"')
-        frames.append(df.withColumn("source_key", F.lit(key)))
+    paths = {k: template.format(key=k) for k in keys}
+    sizes = _existing(spark, paths)
+    error = {k: "missing" if k not in sizes else "empty" for k in keys if not sizes.get(k)}
+    filled = {k: p for k, p in paths.items() if k not in error}
     combined = None
-    for df in frames:
-        combined = df if combined is None else combined.unionByName(df, allowMissingColumns=True)
-    expected = spark.createDataFrame([(k,) for k in keys], "source_key string")
+    if filled:
+        lines = spark.read.text(list(filled.values())).select(
+            _source_of(filled).alias("key"), "value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")
+        )
+        heads = lines.groupBy("key").agg(F.min_by("value", "at").alias("head")).collect()  # one row per source
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for r in heads:
+            names = tuple(next(csv.reader([r.head]), []))
+            lacking = [c for c in text_columns if c not in names]
+            if lacking:
+                error[r.key] = f"no {lacking[0]}"
+            else:
+                groups.setdefault(names, []).append(r.key)
+        for names, members in groups.items():
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            part = csv_records(spark, {k: filled[k] for k in members}, schema)
+            combined = part if combined is None else combined.unionByName(part, allowMissingColumns=True)
+    expected = spark.createDataFrame([(k, error.get(k)) for k in keys], "source_key string, error string")
+    zero = F.lit(0).cast("long")
     if combined is None:
-        return None, expected.withColumn("rows", F.lit(0).cast("long"))
+        return None, expected.select("source_key", zero.alias("rows"), "error")
+    if infer:
+        typed = _narrowest(combined, [c for c in combined.columns if c not in text_columns and c != "source_key"])
+        combined = combined.select(*[F.col(c).cast(typed.get(c, "string")).alias(c) for c in combined.columns])
     counts = combined.groupBy("source_key").agg(F.count(F.lit(1)).alias("rows"))
     return combined, expected.join(counts, "source_key", "left").select(
-        "source_key", F.coalesce("rows", F.lit(0).cast("long")).alias("rows")
+        "source_key", F.coalesce("rows", zero).alias("rows"), F.coalesce("error", F.when(F.col("rows").isNull(), F.lit("no rows"))).alias("error")
     )
 
 
 def source_status(expected: DataFrame, rows: DataFrame, source: str = "source_key") -> DataFrame:
-    """Per expected source: success, rows, error. ``rows`` has one row per record read."""
+    """Per expected source: success, rows, error. ``rows`` has one row per record read.
+
+    If ``expected`` has an ``error`` column, as the status of ``read_keyed_csvs``, its errors stay.
+    """
     counts = rows.groupBy(source).agg(F.count(F.lit(1)).alias("rows"))
-    joined = expected.select(source).distinct().join(counts, source, "left")
+    known = F.min("error") if "error" in expected.columns else F.lit(None).cast("string")
+    joined = expected.groupBy(source).agg(known.alias("error")).join(counts, source, "left")
     found = F.coalesce("rows", F.lit(0).cast("long"))
-    return joined.select(
-        source,
-        (found > 0).alias("success"),
-        found.alias("rows"),
-        F.when(found == 0, F.lit("no rows")).alias("error"),
-    )
+    error = F.coalesce("error", F.when(found == 0, F.lit("no rows")))
+    return joined.select(source, error.isNull().alias("success"), found.alias("rows"), error.alias("error"))
 
 
 def parse_url_list(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
@@ -145,24 +185,20 @@ def list_outputs(spark: SparkSession, path: str) -> DataFrame:
     return files.load(path).select("path", "length")
 
 
-def _broadcast_checked(small: DataFrame, name: str) -> DataFrame:
-    """Store a side and broadcast it when it has at most ``BROADCAST_ROWS`` rows."""
-    stored = materialize(small, name)
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
-
-
 def numbered_lines(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:
     """Text lines with their 1-based number in the file: (path, line_no, line).
 
     A line's number is its position in the file split plus the lines of earlier
-    splits, so a large file is numbered by many tasks and its text not shuffled.
-    Lines are stored once with their split, as the splits of two reads may differ.
+    splits, so a large file is numbered by many tasks. Lines are stored once with their
+    split, as the splits of two reads may differ; so are the counts per split, whose size
+    then decides their join. ``modified`` is the file's time, ``path`` is not URI-encoded.
     """
     placed = (
         spark.read.options(**options)
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            uri_path(F.col("_metadata.file_path")).alias("path"),
+            F.col("_metadata.file_modification_time").alias("modified"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_pos"),
             F.col("value").alias("line"),
@@ -175,8 +211,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str], **options: object
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
         .select("path", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    return lines.join(_broadcast_checked(splits, "splits"), ["path", "_start"]).select(
-        "path", (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias("line_no"), "line"
+    return lines.join(materialize(splits, "splits"), ["path", "_start"]).select(
+        "path", (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias("line_no"), "line", "modified"
     )
 
 
@@ -186,12 +222,13 @@ def nth_field(line: Column, field: int, sep: str = "\t") -> Column:
 
 
 def file_header_scan(lines: DataFrame, line_no: int = 2, field: int = 4) -> DataFrame:
-    """Per file: one field of one line as key, and the number of empty fields of that line."""
+    """Per file: one field of one line as key, the number of empty fields of that line, the file's time."""
     fields = F.split("line", "\t")
     return lines.filter(F.col("line_no") == line_no).select(
         nth_field(F.col("line"), field).alias("key"),
         "path",
         F.size(F.filter(fields, lambda f: f == "")).alias("empty_fields"),
+        F.date_format("modified", TIME_FORMAT).alias("timestamp"),
     )
 
 
@@ -204,14 +241,20 @@ def extract_token(lines: DataFrame, line_no: int = 3, field: int = 6) -> DataFra
 def tail_lines(lines: DataFrame, n: int = 5) -> DataFrame:
     """The last ``n`` lines of every file, found from the file's line count."""
     last = lines.groupBy("path").agg(F.max("line_no").alias("_last"))
-    return lines.join(_broadcast_checked(last, "last"), "path").filter(F.col("line_no") > F.col("_last") - n).select("path", "line_no", "line")
+    return lines.join(materialize(last, "last"), "path").filter(F.col("line_no") > F.col("_last") - n).select("path", "line_no", "line")
 
 
 def plain_path(path: Column) -> Column:
-    """A file path without its ``file:`` scheme."""
+    """A file path without its ``file:`` scheme; other schemes stay."""
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def uri_path(path: Column) -> Column:
+    """A path from file metadata without URI encoding; local ones with one slash after ``file:``."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
 def join_tickets(tickets: DataFrame, tokens: DataFrame) -> DataFrame:
     """Ticket list (ticket, path) with the token of each file: (token, ticket, path)."""
     ours = tickets.select("ticket", plain_path(F.col("path")).alias("path"))
@@ -219,56 +262,96 @@ def join_tickets(tickets: DataFrame, tokens: DataFrame) -> DataFrame:
     return ours.join(theirs, "path").select("token", "ticket", "path")
 
 
-def import_delimited(
+#: stands for an escape while a line is split; its own occurrences are coded too
+_MARK = "\u0001"
+#: stands for quoted empty text while a CSV file is read
+_EMPTY = "\u0001empty\u0001"
+
+
+def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | str,
     sep: str = "|",
     nullif_empty: bool = True,
-    escape: str = "\\",
     null_token: str | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Headerless part files in target column order; empty fields become NULL on request."""
+    """Every line of headerless, escaped part files, with ``_file``, ``_line`` and ``_error``.
+
+    ``_error`` names what is wrong: another number of fields, a value that does not fit its
+    column, or a NULL in ``keys``. Rows with an error have NULLs in the columns that failed.
+    Escapes are those of ``export_delimited``: a backslash before the separator or itself, ``\\n`` and ``\\r``.
+    """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields])).csv(
-        path, sep=sep, quote="", escape=escape, emptyValue="", nullValue="\u0000"
+    codes = ((_MARK, "a"), ("\\\\", "b"), ("\\" + sep, "c"), ("\\n", "d"), ("\\r", "e"))
+    meaning = {"c": sep, "d": "\n", "e": "\r", "b": "\\", "a": _MARK}
+    coded = F.col("value")
+    for raw, code in codes:
+        coded = F.replace(coded, F.lit(raw), F.lit(_MARK + code))
+    parts = F.split(coded, re.escape(sep), -1)
+    lines = spark.read.text(path).select(
+        uri_path(F.col("_metadata.file_path")).alias("_file"), F.col("value").alias("_line"), parts.alias("_parts")
     )
 
-    def value(field: T.StructField) -> Column:
-        text = F.coalesce(F.col(field.name), F.lit(""))
+    def text(i: int, field: T.StructField) -> Column:
+        part = F.get("_parts", F.lit(i))
         if null_token is not None:
-            text = F.nullif(text, F.lit(null_token))
-        if nullif_empty or not isinstance(field.dataType, T.StringType):
-            text = F.nullif(text, F.lit(""))
-        return text.try_cast(field.dataType).alias(field.name)
+            part = F.nullif(part, F.lit(null_token))
+        for code, raw in meaning.items():
+            part = F.replace(part, F.lit(_MARK + code), F.lit(raw))
+        return F.nullif(part, F.lit("")) if nullif_empty or not isinstance(field.dataType, T.StringType) else part
 
-    return raw.select(*[value(f) for f in fields])
+    texts = lines.select("_file", "_line", F.size("_parts").alias("_n"), *[text(i, f).alias(f"_t{i}") for i, f in enumerate(fields)])
+    typed = texts.select("*", *[F.col(f"_t{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+    error = F.when(F.col("_n") != len(fields), F.concat(F.lit("fields: "), F.col("_n"), F.lit(f" instead of {len(fields)}")))
+    for i, f in enumerate(fields):
+        error = error.when(F.col(f"_t{i}").isNotNull() & F.col(f.name).isNull(), F.lit(f"value of {f.name}"))
+    for k in keys:
+        error = error.when(F.col(k).isNull(), F.lit(f"no {k}"))
+    return typed.select(*[f.name for f in fields], "_file", "_line", error.alias("_error"))
 
 
-def load_ledger(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "|", **options: object) -> DataFrame:
-    """Per input file: rows loaded, bad rows, loaded rows without a first field, status."""
-    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    with_bad = T.StructType([*fields, T.StructField("_bad", T.StringType())])
-    # every column is parsed, else a bad value in an unread column would count as loaded
-    rows = (
-        spark.read.schema(with_bad)
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", columnPruning=False, sep=sep, **options)
-        .csv(path)
-    )
-    parsed = rows.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_bad").isNotNull().alias("_is_bad"),
-        F.col(fields[0].name).isNull().alias("_no_key"),
-    )
-    bad, good = F.col("_is_bad"), ~F.col("_is_bad")
-    counted = parsed.groupBy("file").agg(
+def import_delimited(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | str,
+    sep: str = "|",
+    nullif_empty: bool = True,
+    null_token: str | None = None,
+) -> DataFrame:
+    """Headerless part files in target column order; a bad line stops the query.
+
+    To go on with the good lines and keep the bad ones use ``read_delimited``.
+    """
+    rows = read_delimited(spark, path, schema, sep, nullif_empty, null_token)
+    message = F.concat(F.lit("bad line, "), F.col("_error"), F.lit(": "), F.col("_line"))
+    checked = rows.filter(F.when(F.col("_error").isNull(), F.lit(True)).otherwise(F.raise_error(message)))
+    return checked.drop("_file", "_line", "_error")
+
+
+def ledger_of(spark: SparkSession, path: str | list[str], rows: DataFrame, key: str) -> DataFrame:
+    """Per input file: rows loaded, bad rows, loaded rows without a key, status; files without lines count too."""
+    good = F.col("_error").isNull()
+    counted = rows.groupBy(F.col("_file").alias("file")).agg(
         F.count_if(good).alias("rows_loaded"),
-        F.count_if(bad).alias("bad_rows"),
-        F.count_if(good & F.col("_no_key")).alias("null_keys"),
+        F.count_if(~good).alias("bad_rows"),
+        F.count_if(good & F.col(key).isNull()).alias("null_keys"),
     )
-    # naming null_keys here keeps a data column in the scan: Spark refuses to read bad lines alone
+    # the session lists all files anyway before it reads them; a scan of them leaves out empty ones
+    names = [(name,) for name in spark.read.text(path).inputFiles()]
+    listed = spark.createDataFrame(names, "file string").select(uri_path(F.col("file")).alias("file"))
+    zero = F.lit(0).cast("long")
+    counts = ("rows_loaded", "bad_rows", "null_keys")
+    whole = listed.join(counted, "file", "left").select("file", *[F.coalesce(c, zero).alias(c) for c in counts])
     status = F.when(F.col("bad_rows") == 0, "loaded").when(F.col("rows_loaded") == 0, "failed").otherwise("partial")
-    return counted.filter(F.col("rows_loaded") + F.col("bad_rows") + F.col("null_keys") > 0).withColumn("status", status)
+    return whole.withColumn("status", status)
+
+
+def load_ledger(spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = "|", **options: object) -> DataFrame:
+    """The ledger of part files as ``read_delimited`` reads them; every column of every line is tested."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return ledger_of(spark, path, read_delimited(spark, path, fields, sep, **options), fields[0].name)
 
 
 def ledger_totals(ledger: DataFrame) -> DataFrame:
@@ -283,8 +366,23 @@ def ledger_totals(ledger: DataFrame) -> DataFrame:
 
 def csv_records(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType | str) -> DataFrame:
     """Several CSV sources of one schema in a single scan, each row with its ``source_key``."""
-    by_path = F.create_map(*[F.lit(x) for key, path in paths.items() for x in (path.rstrip("/"), key)])
-    folder = F.regexp_replace(plain_path(F.col("_metadata.file_path")), "/[^/]*$", "")
     rows = spark.read.schema(schema).csv(list(paths.values()), header=True, escape='"')
-    own = plain_path(F.col("_metadata.file_path"))
-    return rows.select("*", F.coalesce(F.try_element_at(by_path, own), F.try_element_at(by_path, folder)).alias("source_key"))
+    return rows.select("*", _source_of(paths).alias("source_key"))
+
+
+def read_own_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """Files of ``export_csv``: quoted line breaks are part of a value, NULL and empty text differ.
+
+    A file with line breaks inside quotes can't be split, so its parts are the tasks. Spark's
+    reader would make NULL of quoted empty text too, so that comes as a mark and is put back.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(fields).csv(path, header=True, escape='"', multiLine=True, emptyValue=_EMPTY)
+    return rows.select(
+        *[
+            F.when(F.col(f"`{f.name}`") == _EMPTY, F.lit("")).otherwise(F.col(f"`{f.name}`")).alias(f.name)
+            if isinstance(f.dataType, T.StringType)
+            else F.col(f"`{f.name}`")
+            for f in fields
+        ]
+    )

@@ -6,14 +6,11 @@ import datetime
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerline.session import scratch_path
 
-#: most rows a one-file export may hold
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write parquet; by default an existing folder is an error."""
@@ -36,14 +33,36 @@ def ensure_table(spark: SparkSession, name: str, schema: T.StructType) -> bool:
 def swap_table(df: DataFrame, name: str) -> None:
     """Replace a table by a new state that may be computed from the table itself.
 
-    The state is written beside the table first. Between drop and rename readers
-    find no table; the new state is complete by then.
+    The state is written beside the table, the table is set aside, the new state takes
+    its name, and only then the old one is dropped. Whatever step fails, a complete copy
+    is left, and ``recover_table`` puts it in place.
     """
     spark = df.sparkSession
-    staged = f"{name}__next"
-    df.write.mode("overwrite").saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    df.write.mode("overwrite").saveAsTable(f"{name}__next")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE IF EXISTS {name}__old")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}__old")
+    spark.sql(f"ALTER TABLE {name}__next RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}__old")
+
+
+def recover_table(spark: SparkSession, name: str) -> str:
+    """Finish or undo a swap that broke off: ``none``, ``restored`` or ``cleaned``.
+
+    If the table is missing, the old state comes back. Leftovers beside a table are
+    dropped: a staged state may be incomplete, an old one is no longer needed.
+    Call it before the table is read again.
+    """
+    done = "none"
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(f"{name}__old"):
+        spark.sql(f"ALTER TABLE {name}__old RENAME TO {name}")
+        done = "restored"
+    if spark.catalog.tableExists(name):
+        for rest in (f"{name}__next", f"{name}__old"):
+            if spark.catalog.tableExists(rest):
+                spark.sql(f"DROP TABLE {rest}")
+                done = "cleaned" if done == "none" else done
+    return done
 
 
 def _writable(df: DataFrame) -> DataFrame:
@@ -54,30 +73,66 @@ def _writable(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, quoted: bool = True, header: bool = True, mode: str = "errorifexists") -> None:
-    """CSV with a header; NULL is written as an empty field."""
+    """CSV with a header. Quoted where needed; NULL is a bare empty field and empty text is ``""``.
+
+    Read quoted files with ``read_own_csv``, which also takes line breaks inside quotes.
+    Unquoted files can't tell NULL from empty text, nor hold separators or line breaks.
+    """
     if quoted:
-        _writable(df).write.mode(mode).csv(path, header=header, quoteAll=True, nullValue="", emptyValue="", escape='"')
+        spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        _writable(df).write.mode(mode).csv(path, header=header, escape='"', **spaces)
     else:
         _writable(df).write.mode(mode).csv(path, header=header, quote="", nullValue="", emptyValue="")
 
 
-def export_single_csv(df: DataFrame, path: str, limit: int = SINGLE_FILE_ROWS) -> None:
-    """One CSV file for a bounded result; more than ``limit`` rows are refused."""
-    found = df.limit(limit + 1).count()
-    if found > limit:
-        raise ValueError(f"more than {limit} rows do not belong in one file, use export_csv")
-    _writable(df).coalesce(1).write.mode("errorifexists").csv(path, header=True)
+def export_single_csv(df: DataFrame, file: str) -> None:
+    """One CSV file with one header, of any size; an existing file is an error.
+
+    The parts are written in parallel without headers, and their bytes are then joined
+    in order by the file system client, with no row passing through Python.
+    """
+    spark = df.sparkSession
+    parts = scratch_path(spark, "parts")
+    export_csv(df, parts, header=False)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, source = jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.hadoop.fs.Path(parts)
+    fs = source.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, False)
+    try:
+        header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns) + "\n"
+        out.write(bytearray(header, "utf-8"))
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(source)):
+            if name.startswith("part-"):
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(source, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+
+
+#: what a delimited line can't hold as it is, and its escaped form
+LINE_ESCAPES = (("\n", "\\n"), ("\r", "\\r"))
 
 
 def delimited_line(df: DataFrame, sep: str = "|", null_token: str = "") -> Column:
-    """All columns of a row as one line."""
-    return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit(null_token)) for c in df.columns])
+    """All columns of a row as one line; backslash, separator and line breaks are escaped by a backslash."""
+
+    def field(name: str) -> Column:
+        text = F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        text = F.replace(text, F.lit(sep), F.lit("\\" + sep))
+        for raw, escaped in LINE_ESCAPES:
+            text = F.replace(text, F.lit(raw), F.lit(escaped))
+        return F.coalesce(text, F.lit(null_token))
+
+    return F.concat_ws(sep, *[field(c) for c in df.columns])
 
 
 def export_delimited(df: DataFrame, path: str, sep: str = "|", null_token: str = "", mode: str = "errorifexists") -> None:
-    """Headerless lines; NULL is written as ``null_token``.
+    """Headerless lines, escaped; NULL is written as ``null_token``.
 
-    Values are not escaped: clean the separator and line breaks out of them first.
+    No value can look like the token ``\\N``, so it keeps NULL apart from empty text.
     """
     df.select(delimited_line(df, sep, null_token).alias("value")).write.mode(mode).text(path)
 
@@ -108,7 +163,7 @@ def write_jdbc(
 class BatchSink(Protocol):
     """Target of one partition: batches are written, then committed, or rolled back."""
 
-    def write(self, batch: pd.DataFrame) -> None: ...
+    def write(self, batch: pa.RecordBatch) -> None: ...
 
     def commit(self) -> None: ...
 
@@ -120,20 +175,20 @@ class BatchSink(Protocol):
 def write_partitions(df: DataFrame, open_sink: Callable[[], BatchSink], batch_rows: int = 1000) -> DataFrame:
     """Write every partition through its own sink: (partition, batches, rows).
 
-    The write happens when the result is computed. A batch is committed before
+    Batches are Arrow record batches. The write happens when the result is computed. A batch is committed before
     the next one; a failed batch is rolled back and the task fails. Spark may run
     a task again, so the sink must accept a batch twice (upsert or replace).
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sink = open_sink()
         batches = rows = 0
         try:
             for frame in frames:
-                for start in range(0, len(frame), batch_rows):
-                    batch = frame.iloc[start : start + batch_rows]
+                for start in range(0, frame.num_rows, batch_rows):
+                    batch = frame.slice(start, batch_rows)
                     try:
                         sink.write(batch)
                         sink.commit()
@@ -141,14 +196,15 @@ def write_partitions(df: DataFrame, open_sink: Callable[[], BatchSink], batch_ro
                         sink.rollback()
                         raise
                     batches += 1
-                    rows += len(batch)
+                    rows += batch.num_rows
         finally:
             sink.close()
         if rows:
             part = TaskContext.get().partitionId()
-            yield pd.DataFrame({"partition": [part], "batches": [batches], "rows": [rows]})
+            counts = {"partition": pa.array([part], pa.int32()), "batches": pa.array([batches]), "rows": pa.array([rows])}
+            yield pa.RecordBatch.from_pydict(counts)
 
-    return df.mapInPandas(run, "partition int, batches long, rows long")
+    return df.mapInArrow(run, "partition int, batches long, rows long")
 
 
 def staged_merge(staging: DataFrame, merge: Callable[[DataFrame], DataFrame], table: str) -> None:

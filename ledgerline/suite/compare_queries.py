@@ -74,6 +74,29 @@ def mismatch_counts(t: Tables) -> DataFrame:
     return compare.mismatch_counts(orders_left(t), orders_right(t), SPEC)
 
 
+def _exact(t: Tables, edited: bool) -> DataFrame:
+    """Numbers beyond 2^53 in other types on each side; the right side has edits of one unit."""
+    key = F.col("o_orderkey")
+    cent = F.when(key % 50 == 1, F.lit("0.01").cast("decimal(3,2)")).otherwise(F.lit("0.00").cast("decimal(3,2)"))
+    price = key.cast("decimal(19,2)") + F.lit("12345678901234567.01").cast("decimal(19,2)")
+    number = F.lit(9007199254740993) + key
+    if not edited:
+        return t.orders.select("o_orderkey", price.cast("decimal(20,2)").alias("price"), number.alias("number"), F.col("o_orderdate").cast("date").alias("day"))
+    return t.orders.select(
+        "o_orderkey",
+        (price + cent).cast("decimal(22,2)").alias("price"),
+        (number - (key % 40 == 3).cast("long")).cast("decimal(20,0)").alias("number"),
+        F.timestamp_add("SECOND", (key % 30 == 7).cast("int"), F.col("o_orderdate").cast("date").cast("timestamp")).alias("day"),
+    )
+
+
+query(
+    "mismatch_counts_exact",
+    """SELECT 'price' AS "column", count(*) FILTER (o_orderkey % 50 = 1) AS mismatches FROM orders
+       UNION ALL SELECT 'number', count(*) FILTER (o_orderkey % 40 = 3) FROM orders
+       UNION ALL SELECT 'day', count(*) FILTER (o_orderkey % 30 = 7) FROM orders""",
+)(lambda t: compare.mismatch_counts(_exact(t, False), _exact(t, True), SPEC))
+
 query(
     "keys_only_left",
     f"WITH {SIDES} SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM (SELECT o_orderkey FROM l EXCEPT SELECT o_orderkey FROM r)",

@@ -1,12 +1,16 @@
 """Files, logs, graphs and messages derived from the given tables by Spark."""
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.operators import graph, logs
 from ledgerline.operators.clean import TargetColumn
 from ledgerline.operators.rows import global_rank, carry_forward
-from ledgerline.plans.load import clean_for_load, load_and_upsert
-from ledgerline.session import scratch_path
+from ledgerline.plans import load
+from ledgerline.plans.load import SyncTable, clean_for_load, load_and_upsert
+from ledgerline.session import materialize, scratch_path
 from ledgerline.sources import files, sinks
 from ledgerline.streaming import messages
 from ledgerline.suite.registry import Tables, query
@@ -49,6 +53,119 @@ def single_csv(t: Tables) -> DataFrame:
     return files.read_csv(t.spark, path, schema="c_mktsegment string, n long")
 
 
+_DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+_HARD_SQL = """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 <> 0 THEN
+        ' "' || text || chr(10) || '|^,' || chr(13) || chr(92) || 'N' || chr(92) || chr(9) || ' ' END AS text,
+    CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source,
+    CASE WHEN doc_id % 13 <> 0 THEN n_chars END AS n_chars FROM documents"""
+
+
+def hard_documents(t: Tables) -> DataFrame:
+    """All documents, with quotes, separators, line breaks, backslashes, outer spaces, empty texts and NULLs."""
+    key = F.col("doc_id")
+    text = F.concat(F.lit(' "'), "text", F.lit("\n|^,\r\\N\\\t "))
+    return t.documents.select(
+        "doc_id",
+        F.when(key % 7 == 0, F.lit("")).when(key % 11 != 0, text).alias("text"),
+        F.when(key % 5 != 0, F.col("lang")).alias("lang"),
+        F.when(key % 3 == 0, F.lit("")).otherwise(F.col("source")).alias("source"),
+        F.when(key % 13 != 0, F.col("n_chars")).alias("n_chars"),
+    )
+
+
+@query("csv_documents", _HARD_SQL)
+def csv_documents(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "csv")
+    sinks.export_csv(hard_documents(t), path)
+    return files.read_own_csv(t.spark, path, _DOCUMENTS)
+
+
+@query("single_csv_documents", _HARD_SQL)
+def single_csv_documents(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "single")
+    sinks.export_single_csv(hard_documents(t), path)
+    return files.read_own_csv(t.spark, path, _DOCUMENTS)
+
+
+@query("delimited_documents", _HARD_SQL)
+def delimited_documents(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "caret")
+    sinks.export_delimited(hard_documents(t), path, "^", "\\N")
+    return files.import_delimited(t.spark, path, _DOCUMENTS, "^", nullif_empty=False, null_token="\\N")
+
+
+def faulty_customers(t: Tables) -> str:
+    """Customers as part files with bad numbers, bad and missing keys, and lines of too few fields; the folder."""
+    path = scratch_path(t.spark, "faulty")
+    key = F.col("c_custkey")
+    text = key.cast("string")
+    line = (
+        F.when(key % 10 == 1, F.concat_ws("^", text, F.lit("new"), F.lit("many"), F.lit("x")))
+        .when(key % 10 == 2, F.concat_ws("^", F.lit("bad"), F.lit("new"), F.lit("1"), F.lit("x")))
+        .when(key % 10 == 3, F.concat_ws("^", F.lit(""), F.lit("new"), F.lit("1"), F.lit("x")))
+        .when(key % 10 == 4, F.concat_ws("^", text, F.lit("new")))
+        .otherwise(F.concat_ws("^", text, F.lit("new"), F.lit("1"), F.lit("x")))
+    )
+    t.customer.select(line.alias("value")).write.text(path)
+    return path
+
+
+query(
+    "load_with_rejects",
+    """SELECT c_custkey, CASE WHEN c_custkey % 10 IN (1, 2, 3, 4) THEN c_name ELSE 'new' END AS c_name,
+        CASE WHEN c_custkey % 10 IN (1, 2, 3, 4) THEN c_nationkey ELSE 1 END AS c_nationkey,
+        CASE WHEN c_custkey % 10 IN (1, 2, 3, 4) THEN c_mktsegment ELSE 'x' END AS c_mktsegment FROM customer""",
+)(lambda t: load_and_upsert(t.spark, faulty_customers(t), customers(t).withColumn("c_nationkey", F.col("c_nationkey").cast("int")), ["c_custkey"]).state)
+
+query(
+    "load_rejects",
+    """SELECT CASE c_custkey % 10 WHEN 1 THEN 'value of c_nationkey' WHEN 2 THEN 'value of c_custkey' WHEN 3 THEN 'no c_custkey'
+            ELSE 'fields: 2 instead of 4' END AS error, count(*) AS lines FROM customer WHERE c_custkey % 10 IN (1, 2, 3, 4) GROUP BY 1""",
+)(
+    lambda t: load_and_upsert(t.spark, faulty_customers(t), customers(t), ["c_custkey"])
+    .rejects.groupBy(F.col("_error").alias("error"))
+    .agg(F.count(F.lit(1)).alias("lines"))
+)
+
+query(
+    "load_totals",
+    """SELECT count(*) FILTER (c_custkey % 10 NOT IN (1, 2, 3, 4)) AS rows_loaded, count(*) FILTER (c_custkey % 10 IN (1, 2, 3, 4)) AS rows_rejected
+       FROM customer""",
+)(lambda t: _load_totals(load_and_upsert(t.spark, faulty_customers(t), customers(t), ["c_custkey"])))
+
+
+def _load_totals(result) -> DataFrame:
+    rejected = result.rejects.agg(F.count(F.lit(1)).alias("rows_rejected"))
+    both = result.totals.select("rows_loaded", F.lit(None).cast("long").alias("rows_rejected")).unionByName(
+        rejected.select(F.lit(None).cast("long").alias("rows_loaded"), "rows_rejected")
+    )
+    return both.agg(F.max("rows_loaded").alias("rows_loaded"), F.max("rows_rejected").alias("rows_rejected"))
+
+
+@query(
+    "sync_archive_tables",
+    """SELECT 'archived' AS state, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 5 = 0
+       UNION ALL SELECT 'kept', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderkey % 5 <> 0""",
+)
+def sync_archive_tables(t: Tables) -> DataFrame:
+    """Catalog tables are made for the run, synchronised twice, summed up and dropped."""
+    name = f"sync_{uuid.uuid4().hex}"
+    table = SyncTable(f"{name}_prod", f"{name}_landing", f"{name}_archive", ["o_orderkey"])
+    try:
+        sinks.save_table(t.orders.select("o_orderkey", "o_orderstatus"), table.prod, "overwrite")
+        sinks.save_table(t.orders.filter("o_orderkey % 5 <> 0").select("o_orderkey"), table.landing, "overwrite")
+        for _ in range(2):
+            load.sync_with_archive(t.spark, [table], datetime.date(2024, 1, 31))
+        parts = [
+            t.spark.table(n).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys")).select(F.lit(s).alias("state"), "rows", "keys")
+            for s, n in (("archived", table.archive), ("kept", table.prod))
+        ]
+        return materialize(parts[0].unionByName(parts[1]), "synced")
+    finally:
+        for n in (table.prod, table.landing, table.archive):
+            t.spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
 def sparse_customers(t: Tables) -> DataFrame:
     return customers(t).withColumn("c_mktsegment", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")))
 
@@ -95,7 +212,7 @@ class CountingSink:
     pending = 0
 
     def write(self, batch):
-        self.pending = len(batch)
+        self.pending = batch.num_rows
 
     def commit(self):
         self.pending = 0
@@ -129,14 +246,15 @@ def run_dated(t: Tables) -> DataFrame:
 
 @query(
     "list_outputs",
-    "SELECT true AS has_files, true AS all_filled",
+    """SELECT c_nationkey, 1 AS files, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS length FROM customer GROUP BY c_nationkey""",
 )
 def list_outputs(t: Tables) -> DataFrame:
+    """One text file per nation, with its size."""
     path = scratch_path(t.spark, "outputs")
-    sinks.write_parquet(t.orders, path)
-    return files.list_outputs(t.spark, path).agg(
-        (F.count(F.lit(1)) > 0).alias("has_files"), F.bool_and(F.col("length") > 0).alias("all_filled")
-    )
+    t.customer.select("c_name", "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("long").alias("c_nationkey")
+    found = files.list_outputs(t.spark, path).groupBy(nation)
+    return found.agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("length").alias("length"))
 
 
 @query(
@@ -168,7 +286,8 @@ def load_ledger(t: Tables) -> DataFrame:
 
 @query(
     "keyed_csvs",
-    """SELECT c_mktsegment AS source_key, count(*) AS rows FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'ABSENT', 0""",
+    """SELECT c_mktsegment AS source_key, count(*) AS rows, NULL::VARCHAR AS error FROM customer GROUP BY c_mktsegment
+       UNION ALL SELECT 'ABSENT', 0, 'missing'""",
 )
 def keyed_csvs(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "keyed")
@@ -177,6 +296,20 @@ def keyed_csvs(t: Tables) -> DataFrame:
     return files.read_keyed_csvs(t.spark, path + "/c_mktsegment={key}", keys, ["c_custkey"])[1]
 
 
+@query(
+    "keyed_csv_rows",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'n' ELSE '' END || c_nationkey AS c_nationkey,
+        c_mktsegment AS source_key FROM customer""",
+)
+def keyed_csv_rows(t: Tables) -> DataFrame:
+    """Nations are numbers in all sources but one, so they are text in the whole."""
+    path = scratch_path(t.spark, "keyed")
+    nation = F.concat(F.when(F.col("c_mktsegment") == "BUILDING", F.lit("n")).otherwise(F.lit("")), "c_nationkey")
+    customers(t).withColumn("c_nationkey", nation).write.partitionBy("c_mktsegment").csv(path, header=True)
+    keys = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return files.read_keyed_csvs(t.spark, path + "/c_mktsegment={key}", keys, ["c_custkey"])[0]
+
+
 @query(
     "source_status",
     """SELECT 'r' || r_regionkey AS source_key, count(n_nationkey) > 0 AS success, count(c_custkey) AS rows,
@@ -196,17 +329,17 @@ def source_status(t: Tables) -> DataFrame:
     "url_list",
     """SELECT url, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '' ELSE 'id_' || page_id END AS id_column,
         CASE WHEN page_id % 5 = 0 THEN 'no comma' WHEN page_id % 7 = 0 THEN 'missing id column' END AS error
-       FROM pages WHERE NOT contains(url, ',')""",
+       FROM (SELECT page_id, replace(url, ',', '%2C') AS url FROM pages)""",
 )
 def url_list(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "urls")
-    key = F.col("page_id")
+    key, url = F.col("page_id"), F.replace("url", F.lit(","), F.lit("%2C"))
     line = (
-        F.when(key % 5 == 0, F.col("url"))
-        .when(key % 7 == 0, F.concat("url", F.lit(",")))
-        .otherwise(F.concat("url", F.lit(",id_"), key))
+        F.when(key % 5 == 0, url)
+        .when(key % 7 == 0, F.concat(url, F.lit(",")))
+        .otherwise(F.concat(url, F.lit(",id_"), key))
     )
-    t.pages.filter(~F.col("url").contains(",")).select(line.alias("value")).write.text(path)
+    t.pages.select(line.alias("value")).write.text(path)
     return files.read_url_list(t.spark, path, strict=False)
 
 

@@ -213,7 +213,7 @@ query(
     "nest_counts",
     "SELECT l_suppkey, count(*) AS rows FROM lineitem GROUP BY l_suppkey",
 )(
-    lambda t: nested.nest_rows(t.lineitem.select("l_suppkey", "l_returnflag", "l_linenumber"), "l_suppkey")
+    lambda t: nested.nest_rows(t.lineitem.select("l_suppkey", "l_returnflag", "l_linenumber"), "l_suppkey", 100_000)
     .select("l_suppkey", F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + r["copies"]).alias("n"))
     .groupBy("l_suppkey")
     .agg(F.sum("n").alias("rows"))
@@ -222,7 +222,7 @@ query(
 query(
     "names_per_key",
     """SELECT p_type, CAST(0 AS BIGINT) AS piece, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY p_type""",
-)(lambda t: nested.distinct_values(t.part, ["p_type"], "p_brand").select("p_type", "piece", F.array_join("values", ",").alias("brands")))
+)(lambda t: nested.distinct_values(t.part, ["p_type"], "p_brand", 100_000).select("p_type", "piece", F.array_join("values", ",").alias("brands")))
 
 query(
     "names_in_pieces",
@@ -241,7 +241,7 @@ query(
     """SELECT p_brand, CAST(0 AS BIGINT) AS piece, string_agg(DISTINCT word, ',' ORDER BY word) AS words
        FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY p_brand""",
 )(
-    lambda t: nested.distinct_elements(t.part, ["p_brand"], F.split("p_name", " "), name="words").select(
+    lambda t: nested.distinct_elements(t.part, ["p_brand"], F.split("p_name", " "), 100_000, name="words").select(
         "p_brand", "piece", F.array_join("words", ",").alias("words")
     )
 )
@@ -250,13 +250,36 @@ query(
     "string_agg",
     """SELECT c_nationkey, (rn - 1) // 20 AS piece, string_agg(c_name, ';' ORDER BY rn) AS text FROM (
         SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS rn FROM customer) GROUP BY ALL""",
-)(lambda t: nested.joined_text(t.customer, ["c_nationkey"], "c_name", ";", 20))
+)(lambda t: nested.joined_text(t.customer, ["c_nationkey"], "c_name", 20, ";"))
 
 
 def listed_segments(t: Tables) -> DataFrame:
     return t.customer.filter(F.col("c_acctbal") > 8500).select("c_nationkey", "c_mktsegment")
 
 
+query(
+    "distinct_items",
+    """SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS position, c_mktsegment
+       FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 8500)""",
+)(lambda t: nested.distinct_items(listed_segments(t), ["c_nationkey"], "c_mktsegment"))
+
+query(
+    "enrich_keeps_values",
+    """SELECT o_orderkey + 9007199254740993 AS big, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + 9007199254740993 END AS gaps,
+       CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS day, o_orderkey % 3 = 0 AS missing FROM orders""",
+)(
+    lambda t: callbacks.enrich(
+        t.orders.select(
+            (F.col("o_orderkey") + 9007199254740993).alias("big"),
+            F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") + 9007199254740993).alias("gaps"),
+            F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("day"),
+        ),
+        lambda record: record["gaps"] is None,
+        "missing",
+        "boolean",
+    )
+)
+
 query(
     "conflicts",
     """WITH listed AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 8500),
@@ -266,7 +289,7 @@ query(
        FROM customer LEFT JOIN lists USING (c_nationkey)""",
 )(
     lambda t: nested.name_conflicts(
-        t.customer.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_nationkey", "c_mktsegment", listed_segments(t)
+        t.customer.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_nationkey", "c_mktsegment", listed_segments(t), with_text=True
     )
 )
 
@@ -286,7 +309,7 @@ query(
     "cells_to_json",
     """SELECT row_key, CAST(0 AS BIGINT) AS piece, '{' || string_agg('"orders:' || o_orderpriority || '":"' || v || '"', ',' ORDER BY o_orderpriority) || '}' AS json
        FROM (SELECT CAST(o_custkey AS VARCHAR) AS row_key, o_orderpriority, max(o_orderkey) AS v FROM orders GROUP BY ALL) GROUP BY row_key""",
-)(lambda t: nested.cells_to_json(order_cells(t), "written"))
+)(lambda t: nested.cells_to_json(order_cells(t), "written", 100_000))
 
 query(
     "row_cells",
@@ -368,10 +391,16 @@ query("enrich", "SELECT c_custkey, c_mktsegment, c_mktsegment || '/' || c_custke
     lambda t: callbacks.enrich(t.customer.select("c_custkey", "c_mktsegment"), _label, "response")
 )
 
+def _doubled(rows):
+    import pyarrow.compute as pc
+
+    return rows.append_column("doubled", pc.multiply(rows["l_quantity"], 2.0)).select(["l_orderkey", "doubled"])
+
+
 query("apply_partitions", "SELECT l_orderkey, l_quantity * 2 AS doubled FROM lineitem")(
     lambda t: callbacks.apply_partitions(
         t.lineitem.select("l_orderkey", "l_quantity"),
-        lambda frame: frame.assign(doubled=frame["l_quantity"] * 2)[["l_orderkey", "doubled"]],
+        _doubled,
         "l_orderkey long, doubled double",
     )
 )

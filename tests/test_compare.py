@@ -155,3 +155,42 @@ def test_pairs_join_without_another_shuffle(spark):
     with_plan = compare.pair_by_key(left, right, CompareSpec(keys=["k"]))
     plan = with_plan._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize(
+    "left, right, a, b",
+    [
+        ("decimal(20,2)", "decimal(22,2)", "12345678901234567.01", "12345678901234567.02"),
+        ("decimal(20,2)", "decimal(22,4)", "1.50", "1.5001"),
+        ("bigint", "decimal(20,0)", "9007199254740993", "9007199254740992"),
+        ("decimal(38,18)", "decimal(38,0)", "1.000000000000000001", "1"),
+        ("decimal(38,18)", "bigint", "0.100000000000000000", "1"),
+        ("int", "bigint", "5", "9007199254740993"),
+        ("double", "int", "1.5", "1"),
+        ("date", "timestamp", "2024-01-01", "2024-01-01 00:00:01"),
+        ("string", "int", "01", "1"),
+    ],
+)
+def test_different_values_of_different_types_differ(spark, left, right, a, b):
+    ours = spark.sql(f"SELECT 1 AS k, CAST('{a}' AS {left}) AS v")
+    theirs = spark.sql(f"SELECT 1 AS k, CAST('{b}' AS {right}) AS v")
+    spec = CompareSpec(keys=["k"])
+    assert compare.mismatch_counts(ours, theirs, spec).first().mismatches == 1
+    equal = ours.selectExpr("k", f"CAST(v AS {right}) AS v")
+    if ours.filter(f"CAST(CAST(v AS {right}) AS {left}) <=> v").count() and left != "string":
+        assert compare.mismatch_counts(ours, equal, spec).first().mismatches == 0
+    assert compare.compare_by_id(ours.withColumnRenamed("k", "id"), theirs.withColumnRenamed("k", "id"), "id", "id").count() == 1
+
+
+def test_wide_decimals_and_midnights_are_equal(spark):
+    pairs = [
+        ("CAST('1.5' AS decimal(38,18))", "CAST('1.50' AS decimal(38,2))"),
+        ("CAST('0' AS decimal(38,18))", "CAST('0' AS decimal(38,0))"),
+        ("CAST('100' AS decimal(38,18))", "CAST('100' AS decimal(38,0))"),
+        ("CAST('100' AS decimal(38,18))", "CAST(100 AS bigint)"),
+        ("DATE'2024-01-01'", "TIMESTAMP'2024-01-01 00:00:00'"),
+        ("CAST(9007199254740993 AS bigint)", "CAST(9007199254740993 AS decimal(19,0))"),
+    ]
+    for a, b in pairs:
+        ours, theirs = spark.sql(f"SELECT 1 AS k, {a} AS v"), spark.sql(f"SELECT 1 AS k, {b} AS v")
+        assert compare.mismatch_counts(ours, theirs, CompareSpec(keys=["k"])).first().mismatches == 0, (a, b)

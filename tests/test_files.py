@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans.load import load_and_upsert
 from ledgerline.plans.reports import run_query_list, top_load_times
-from ledgerline.session import materialize, scratch_root
+from ledgerline.session import materialize, scratch_root, scratch_scope
 from ledgerline.sources import files, sinks, tables
 from ledgerline.streaming import messages
 
@@ -41,6 +41,7 @@ def test_header_scan_and_tokens(spark, tmp_path, rows):
     lines = files.numbered_lines(spark, str(tmp_path))
     header = files.file_header_scan(lines)
     assert rows(header, "key", "empty_fields") == [("K", 2), (None, 0)]
+    assert all(r.timestamp for r in header.collect())
     listing = put(tmp_path / "list" / "tickets", f"T1|{tmp_path}/a.dat\nT2|{tmp_path}/b.dat\n")
     tickets = files.read_pipe_list(spark, listing)
     assert rows(files.join_tickets(tickets, files.extract_token(lines)), "token", "ticket") == [("TOK", "T1")]
@@ -51,6 +52,13 @@ def test_load_log_file(spark, tmp_path):
     assert [(r["table"], r.minutes) for r in top_load_times(spark, log).collect()] == [("t", 3.0)]
 
 
+def test_tickets_with_odd_paths(spark, tmp_path, rows):
+    put(tmp_path / "a b+c%d.dat", "1\n2\n1\t2\t3\t4\t5\tTOK\n")
+    listing = put(tmp_path / "list" / "tickets", f"T1|{tmp_path}/a b+c%d.dat\n")
+    tokens = files.extract_token(files.numbered_lines(spark, str(tmp_path)))
+    assert rows(files.join_tickets(files.read_pipe_list(spark, listing), tokens), "token", "ticket") == [("TOK", "T1")]
+
+
 def test_url_list(spark, tmp_path, rows):
     good = put(tmp_path / "good", "https://h/x,id\n\nhttp://h/y,a,b\n")
     assert rows(files.read_url_list(spark, good), "url", "id_column") == [("http://h/y", "a,b"), ("https://h/x", "id")]
@@ -65,10 +73,19 @@ def test_keyed_csvs(spark, tmp_path, rows):
     put(tmp_path / "A1" / "d.csv", "id,v\n01,1\n02,2\n")
     put(tmp_path / "A2" / "d.csv", "id,w\n03,x\n")
     combined, counts = files.read_keyed_csvs(spark, str(tmp_path) + "/{key}/d.csv", ["A1", "A2", "A3"], ["id"])
-    assert rows(counts) == [("A1", 2), ("A2", 1), ("A3", 0)]
+    assert rows(counts) == [("A1", 2, None), ("A2", 1, None), ("A3", 0, "missing")]
     assert rows(combined, "id", "v", "w", "source_key") == [("01", 1, None, "A1"), ("02", 2, None, "A1"), ("03", None, "x", "A2")]
     nothing, counts = files.read_keyed_csvs(spark, str(tmp_path) + "/{key}/no.csv", ["A1"], ["id"])
-    assert nothing is None and rows(counts) == [("A1", 0)]
+    assert nothing is None and rows(counts) == [("A1", 0, "missing")]
+    put(tmp_path / "B1" / "a b+c.csv", "id,v\n1,7\n")
+    put(tmp_path / "B2" / "a b+c.csv", "id,v\n2,text\n")
+    put(tmp_path / "B3" / "a b+c.csv", "id,v\n")
+    put(tmp_path / "B4" / "a b+c.csv", "")
+    put(tmp_path / "B5" / "a b+c.csv", "x,v\n1,2\n")
+    combined, counts = files.read_keyed_csvs(spark, str(tmp_path) + "/{key}/a b+c.csv", [f"B{i}" for i in range(1, 6)], ["id"])
+    assert rows(combined, "id", "v", "source_key") == [("1", "7", "B1"), ("2", "text", "B2")]
+    assert rows(counts, "rows", "error") == [(0, "empty"), (0, "no id"), (0, "no rows"), (1, None), (1, None)]
+    assert rows(files.source_status(counts, combined), "source_key", "success") == [("B1", True), ("B2", True), ("B3", False), ("B4", False), ("B5", False)]
     one_scan = files.csv_records(spark, {k: f"{tmp_path}/{k}/d.csv" for k in ("A1", "A2")}, "id string, v string")
     assert rows(one_scan.groupBy("source_key").count()) == [("A1", 2), ("A2", 1)]
 
@@ -84,12 +101,28 @@ def test_export_import(spark, tmp_path, rows):
     assert rows(empty) == [(1, "", "x")]
 
 
+HARD = ['say "hi", all', "", None, " a\nb\r\nc ", "\\", "a\\|^b\\", "^|", "\\N", "\\n", "\u0001a", "#x", "é", '"', "NULL", "\t", "a\\"]
+
+
+def test_hard_values_survive_both_formats(spark, tmp_path, rows):
+    df = spark.createDataFrame([(i, v, v) for i, v in enumerate(HARD)], "k int, v string, `a \"b` string")
+    sinks.export_csv(df, str(tmp_path / "c"))
+    assert rows(files.read_own_csv(spark, str(tmp_path / "c"), df.schema)) == rows(df)
+    sinks.export_single_csv(df.repartition(3), str(tmp_path / "one.csv"))
+    assert rows(files.read_own_csv(spark, str(tmp_path / "one.csv"), df.schema)) == rows(df)
+    for i, sep in enumerate(("|", "^", ",", ";;")):
+        sinks.export_delimited(df, str(tmp_path / f"d{i}"), sep, "\\N")
+        back = files.import_delimited(spark, str(tmp_path / f"d{i}"), df.schema, sep, nullif_empty=False, null_token="\\N")
+        assert rows(back) == rows(df)
+
+
 def test_csv_quoting(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, 'say "hi", all', None)], "a int, b string, c string")
     sinks.export_csv(df, str(tmp_path / "q"))
     assert rows(files.read_csv_dir(spark, str(tmp_path / "q"))) == [(1, 'say "hi", all', None)]
-    with pytest.raises(ValueError, match="more than 0"):
-        sinks.export_single_csv(df, str(tmp_path / "s"), limit=0)
+    sinks.export_single_csv(df, str(tmp_path / "s.csv"))
+    with pytest.raises(Exception, match="already exists"):
+        sinks.export_single_csv(df, str(tmp_path / "s.csv"))
     with pytest.raises(Exception, match="already exists"):
         sinks.export_csv(df, str(tmp_path / "q"))
 
@@ -98,9 +131,17 @@ def test_ledger(spark, tmp_path, rows):
     put(tmp_path / "in" / "a", "1|x\n2|y\n")
     put(tmp_path / "in" / "b", "1|x\nbad|y\n")
     put(tmp_path / "in" / "c", "no|x\n")
+    put(tmp_path / "in" / "d e", "")
+    put(tmp_path / "more" / "a", "1|oops|x|2024-01-01\n1|2|x|never\n1|2|x\n1|2|x|2024-01-01|5\n1|2|x|2024-01-01\n||| \n")
+    columns = "k int, n int, v string, d date"
+    found = files.read_delimited(spark, str(tmp_path / "more"), columns, keys=["k"])
+    assert rows(found, "_error") == [("fields: 3 instead of 4",), ("fields: 5 instead of 4",), ("value of d",), ("value of d",), ("value of n",), (None,)]
+    assert rows(files.load_ledger(spark, str(tmp_path / "more"), columns), "rows_loaded", "bad_rows") == [(1, 5)]
+    with pytest.raises(Exception, match="bad line"):
+        files.import_delimited(spark, str(tmp_path / "more"), columns).collect()
     ledger = files.load_ledger(spark, str(tmp_path / "in"), "k int, v string")
-    assert rows(ledger, "rows_loaded", "bad_rows", "status") == [(0, 1, "failed"), (1, 1, "partial"), (2, 0, "loaded")]
-    assert rows(files.ledger_totals(ledger)) == [(3, 1, 2, 3)]
+    assert rows(ledger, "rows_loaded", "bad_rows", "status") == [(0, 0, "loaded"), (0, 1, "failed"), (1, 1, "partial"), (2, 0, "loaded")]
+    assert rows(files.ledger_totals(ledger)) == [(4, 2, 2, 3)]
 
 
 def test_load_and_upsert(spark, tmp_path, rows):
@@ -109,6 +150,12 @@ def test_load_and_upsert(spark, tmp_path, rows):
     result = load_and_upsert(spark, path, prod, ["k"])
     assert rows(result.state) == [(1, "new"), (2, "keep"), (3, "add")]
     assert rows(result.totals) == [(1, 1, 0, 2)]
+    path = put(tmp_path / "bad" / "part-0", "1^oops^new\nbad^5^x\n^5^x\n2^7^good\n")
+    prod = spark.createDataFrame([(1, 5, "old"), (2, 6, "keep")], "k int, n int, v string")
+    result = load_and_upsert(spark, path, prod, ["k"])
+    assert rows(result.state) == [(1, 5, "old"), (2, 7, "good")]
+    assert rows(result.rejects, "_error") == [("no k",), ("value of k",), ("value of n",)]
+    assert rows(result.totals) == [(1, 0, 1, 1)]
 
 
 def test_listings(spark, tmp_path):
@@ -133,11 +180,12 @@ def test_partition_writer(spark, tmp_path):
 
         def write(self, batch):
             self.batch = batch
-            if (batch["k"] < 0).any():
+            if any(k < 0 for k in batch["k"].to_pylist()):
                 raise ValueError("negative key")
 
         def commit(self):
-            self.batch.to_csv(f"{self.folder}/{self.batch['k'].iloc[0]}.csv", index=False)
+            with open(f"{self.folder}/{self.batch['k'][0]}.csv", "w") as f:
+                f.write("\n".join(map(str, self.batch["k"].to_pylist())))
 
         def rollback(self):
             open(f"{self.folder}/rolled_back", "w").close()
@@ -183,6 +231,13 @@ def test_materialize_uses_the_shared_folder(spark, rows):
     assert all("shared" in f for f in stored.inputFiles())
 
 
+def test_scratch_is_freed_at_the_end_of_its_scope(spark):
+    with scratch_scope(spark):
+        path = materialize(spark.range(3), "scoped").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 SUCCESS = "eyJzdGF0ZSI6InN1Y2Nlc3MifQ=="
 TIME = "2024-01-01T10:00:00.000001Z"
 
@@ -192,8 +247,8 @@ def test_messages(spark, rows):
     good = messages.decode_messages(spark.createDataFrame([(SUCCESS, TIME)], schema))
     assert rows(messages.success_gate(good)) == [(1, 0, True)]
     messages.require_success(good)
-    bad = messages.decode_messages(spark.createDataFrame([("%%%", TIME), ("bm8=", TIME), (SUCCESS, "never")], schema))
-    assert rows(bad, "state", "error", "data") == [(None, "base64", "%%%"), (None, "json", "bm8="), (None, "time", SUCCESS)]
+    bad = messages.decode_messages(spark.createDataFrame([("%%%", TIME), ("bm8=", TIME), ("c3Vj//8=", TIME), (SUCCESS, "never")], schema))
+    assert rows(bad, "state", "error", "data") == [(None, "base64", "%%%"), (None, "base64", "c3Vj//8="), (None, "json", "bm8="), (None, "time", SUCCESS)]
     with pytest.raises(ValueError, match="no success"):
         messages.require_success(bad)
     with pytest.raises(ValueError, match="no messages"):

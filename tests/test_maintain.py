@@ -113,6 +113,46 @@ def test_sync_tables_with_archive(spark, rows):
     assert rows(spark.table("deleted_a")) == [(1, "a", day), (None, "n", day)]
 
 
+def test_sync_after_a_failure_archives_once(spark, rows, monkeypatch):
+    import ledgerline.plans.load as load
+
+    day = datetime.date(2024, 2, 1)
+    table = [SyncTable("prod_f", "landing_f", "deleted_f", ["k"])]
+    sinks.save_table(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string"), "prod_f", "overwrite")
+    sinks.save_table(spark.createDataFrame([(2, "b")], "k int, v string"), "landing_f", "overwrite")
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(load, "swap_table", fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            sync_with_archive(spark, table, day)
+    assert rows(spark.table("prod_f"), "k") == [(1,), (1,), (2,)]
+    sync_with_archive(spark, table, day)
+    sync_with_archive(spark, table, day)
+    assert rows(spark.table("deleted_f")) == [(1, "a", day)] * 2
+    assert rows(spark.table("prod_f")) == [(2, "b")]
+
+
+def test_broken_swaps_are_recovered(spark, rows):
+    state = spark.createDataFrame([(1,)], "k int")
+    for step in ("staged", "aside", "renamed"):
+        name = f"swap_{step}"
+        sinks.save_table(state, name, "overwrite")
+        if step == "staged":
+            sinks.save_table(state, f"{name}__next", "overwrite")
+        else:
+            spark.sql(f"ALTER TABLE {name} RENAME TO {name}__old")
+        if step == "renamed":
+            sinks.save_table(state, name, "overwrite")
+        assert sinks.recover_table(spark, name) == ("restored" if step == "aside" else "cleaned")
+        assert rows(spark.table(name)) == [(1,)]
+        assert not any(spark.catalog.tableExists(f"{name}__{x}") for x in ("next", "old"))
+        sinks.swap_table(spark.table(name).selectExpr("k + 1 AS k"), name)
+        assert rows(spark.table(name)) == [(2,)] and sinks.recover_table(spark, name) == "none"
+
+
 def test_staged_merge_and_swap(spark, rows):
     sinks.save_table(spark.createDataFrame([("a", 1, "t0")], "n string, amount int, time string"), "amounts", "overwrite")
     staging = spark.createDataFrame([("a", 2, "t1"), ("b", 3, "t1")], "n string, amount int, time string")

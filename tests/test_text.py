@@ -40,12 +40,6 @@ def test_scrub(spark):
     assert one(spark, value, lambda c: text.scrub(c, [(text.DELIMITER_CHARS, " ")])) == "A b c -1"
 
 
-def test_conflict_text(spark):
-    df = spark.createDataFrame([("a", ["a", "b"]), ("c", ["a", "b"])], "n string, names array<string>")
-    got = [r[0] for r in df.select(text.conflict_text(F.col("names"), F.col("n"))).collect()]
-    assert got == ["No Conflict", "Conflict with a, b"]
-
-
 def test_sql_types():
     expected = {"INT(11)": "int", "bigint": "bigint", "varchar(20)": "string", "text": "string", "double": "double",
                 "decimal(20,6)": "decimal(38,18)", "date": "date", "datetime": "timestamp", "geometry": "string"}
@@ -127,7 +121,7 @@ def test_nesting_round_trip_with_hot_copies(spark):
 
 def test_joined_text_pieces_join_to_the_whole(spark):
     df = spark.createDataFrame([("a", f"{i:03d}") for i in range(25)] + [("b", "x"), ("b", "x"), (None, "y")], "k string, v string")
-    parts = nested.joined_text(df, ["k"], "v", ",", 10).orderBy("k", "piece").collect()
+    parts = nested.joined_text(df, ["k"], "v", 10).orderBy("k", "piece").collect()
     joined = {}
     for r in parts:
         joined.setdefault(r.k, []).append(r.text)
@@ -140,18 +134,41 @@ def test_cells(spark, rows):
         [("row1", "family", "q1", "old", 1), ("row1", "family", "q1", "value1", 2), ("row1", "family", "q2", "value2", 1)],
         "row_key string, family string, qualifier string, value string, at int",
     )
-    assert rows(nested.cells_to_json(cells, "at"), "row_key", "json") == [("row1", '{"family:q1":"value1","family:q2":"value2"}')]
+    assert rows(nested.cells_to_json(cells, "at", 100), "row_key", "json") == [("row1", '{"family:q1":"value1","family:q2":"value2"}')]
     assert nested.row_cells(cells, "row1").count() == 3
 
 
 def test_conflicts(spark, rows):
     df = spark.createDataFrame([(1, "a"), (1, "z"), (2, "a")], "age int, name string")
     listed = spark.createDataFrame([(1, "a"), (1, "b")], "age int, name string")
-    assert rows(nested.name_conflicts(df, "age", "name", listed)) == [
+    assert rows(nested.name_conflicts(df, "age", "name", listed, with_text=True)) == [
         (1, "a", "No Conflict"), (1, "z", "Conflict with a, b"), (2, "a", "Conflict with ")]
+    missing = spark.createDataFrame([(1, None), (None, "a"), (1, "a"), (1, "a")], "age int, name string")
+    more = listed.union(spark.createDataFrame([(None, "a"), (1, None), (1, "a")], "age int, name string"))
+    assert [r[2] for r in rows(nested.name_conflicts(missing, "age", "name", more))] == ["No Conflict"] * 2 + ["Conflict"] * 2
 
 
 def test_callbacks(spark, rows):
     df = spark.createDataFrame([(i,) for i in range(5)], "k long")
     assert rows(callbacks.enrich(df, lambda r: r["k"] * 2, "twice", "long")) == [(i, i * 2) for i in range(5)]
-    assert rows(callbacks.apply_partitions(df, lambda f: f[f["k"] > 3], df.schema)) == [(4,)]
+    assert rows(callbacks.apply_partitions(df, lambda t: t.filter([k > 3 for k in t["k"].to_pylist()]), df.schema)) == [(4,)]
+
+
+@pytest.mark.parametrize("size", [2, 100_000])
+def test_shape_does_not_depend_on_the_size(spark, size):
+    df = spark.createDataFrame([(k, f"v{i}") for k in (1, 2) for i in range(7)], "k int, v string")
+    cells = df.selectExpr("CAST(k AS STRING) AS row_key", "'f' AS family", "v AS qualifier", "v AS value", "1 AS at")
+    for result in (nested.nest_rows(df, "k", size), nested.distinct_values(df, ["k"], "v", size), nested.joined_text(df, ["k"], "v", size), nested.cells_to_json(cells, "at", size)):
+        assert result.columns[1] == "piece" and result.count() == (2 if size > 7 else result.count()) >= 2
+
+
+def test_callbacks_keep_long_values_dates_and_nulls(spark, rows):
+    import datetime
+    from decimal import Decimal
+
+    schema = "a long, b date, c timestamp, d decimal(20,2), e string, f array<int>, g boolean, h double"
+    day, at = datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3, 4, 5, 6)
+    data = [(9007199254740993, day, at, Decimal("1.10"), "x", [1, None], True, 0.5), (None,) * 8]
+    df = spark.createDataFrame(data, schema).coalesce(1)
+    assert rows(callbacks.enrich(df, lambda r: r["a"], "seen", "long")) == sorted([(*r, r[0]) for r in data], key=repr)
+    assert rows(callbacks.apply_partitions(df, lambda t: t, df.schema)) == sorted(data, key=repr)
