@@ -115,7 +115,7 @@ def fit(
     swaps: Sequence[tuple[dict[str, int], dict[str, int]]],
     name: str,
     fairness: float = 5.0,
-    ridge: float = 1e-3,
+    ridge: float = 1e-4,
     rounds: int = 600,
 ) -> Model:
     """Minimise log loss + ridge |w|^2 + fairness * mean squared score change under swaps, by Adam."""
