@@ -252,7 +252,7 @@ def list_outputs(t: Tables) -> DataFrame:
     """One text file per nation, with its size."""
     path = scratch_path(t.spark, "outputs")
     t.customer.select("c_name", "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
-    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("long").alias("c_nationkey")
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("c_nationkey")
     found = files.list_outputs(t.spark, path).groupBy(nation)
     return found.agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("length").alias("length"))
 
