@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.operators import graph, logs
 from ledgerline.operators.clean import TargetColumn
+from ledgerline.operators.maintain import upsert
 from ledgerline.operators.rows import global_rank, carry_forward
 from ledgerline.plans import load
 from ledgerline.plans.load import SyncTable, clean_for_load, load_and_upsert
+from ledgerline.plans.reports import top_load_times
 from ledgerline.session import materialize, scratch_path
 from ledgerline.sources import files, sinks
 from ledgerline.streaming import messages
@@ -142,6 +144,26 @@ def _load_totals(result) -> DataFrame:
     return both.agg(F.max("rows_loaded").alias("rows_loaded"), F.max("rows_rejected").alias("rows_rejected"))
 
 
+@query(
+    "staged_merge",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders
+       UNION ALL SELECT o_orderkey + 1000000000, 'new' FROM orders WHERE o_orderkey % 8 = 1""",
+)
+def staged_merge(t: Tables) -> DataFrame:
+    """Changes are staged and merged into a saved table, which is then read and dropped."""
+    name = f"merged_{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    base = t.orders.select("o_orderkey", "o_orderstatus")
+    new = base.filter(key % 4 == 1).withColumn("o_orderstatus", F.lit("new"))
+    added = new.filter(key % 8 == 1).withColumn("o_orderkey", key + 1_000_000_000)
+    try:
+        sinks.save_table(base, name, "overwrite")
+        sinks.staged_merge(new.unionAll(added), lambda s: upsert(t.spark.table(name), s, ["o_orderkey"]), name)
+        return materialize(t.spark.table(name), "merged")
+    finally:
+        t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @query(
     "sync_archive_tables",
     """SELECT 'archived' AS state, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 5 = 0
@@ -498,6 +520,17 @@ query(
     f"""WITH {LOG} SELECT * FROM shown WHERE minutes IS NOT NULL ORDER BY minutes DESC, file, "table" LIMIT 10""",
 )(lambda t: _shown(logs.top_tables(logs.log_table_stats(log_lines(t), chunk_rows=1000), 10, ("file", "table"))))
 
+
+
+@query("top_load_times_of_files", f"""WITH {LOG} SELECT minutes FROM shown WHERE minutes IS NOT NULL ORDER BY minutes DESC LIMIT 10""")
+def top_load_times_of_files(t: Tables) -> DataFrame:
+    """The same logs written as one text file per user and read again."""
+    path = scratch_path(t.spark, "logs")
+    lines = log_lines(t).repartition("file").sortWithinPartitions("file", "line_no")
+    lines.select("line", "file").write.partitionBy("file").text(path)
+    return top_load_times(t.spark, path).select("minutes")
+
+
 query(
     "carry_forward",
     """SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (

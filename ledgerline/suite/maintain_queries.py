@@ -4,10 +4,10 @@ import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.operators import clean, joins, maintain, partition
+from ledgerline.operators import clean, compare, joins, maintain, partition
 from ledgerline.operators.quality import count_by
 from ledgerline.plans.load import ingest_validate, sync_split
-from ledgerline.sources.tables import scan_sql, scan_table
+from ledgerline.sources.tables import literal_df, scan_sql, scan_table
 from ledgerline.suite.compare_queries import SIDES, orders_left, orders_right
 from ledgerline.suite.registry import Tables, query
 
@@ -74,6 +74,47 @@ query(
     "SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
 )(lambda t: joins.semi_join(t.orders, building(t), ["o_custkey"], ["c_custkey"]))
 
+query(
+    "column_diff",
+    """SELECT coalesce(o.column_name, l.column_name) AS "column",
+        CASE WHEN o.column_name IS NULL THEN 'right' WHEN l.column_name IS NULL THEN 'left' ELSE 'both' END AS side
+       FROM (DESCRIBE SELECT l_orderkey AS shared, * FROM lineitem) l
+       FULL JOIN (DESCRIBE SELECT o_orderkey AS shared, * FROM orders) o USING (column_name)""",
+)(
+    lambda t: compare.column_diff(
+        t.orders.withColumn("shared", F.col("o_orderkey")), t.lineitem.withColumn("shared", F.col("l_orderkey"))
+    )
+)
+
+query(
+    "key_metadata",
+    """SELECT 's' || n_regionkey AS table_schema, 't' || n_nationkey AS table_name, n_name AS constraint_name,
+        CASE WHEN n_nationkey % 2 = 0 THEN 'PRIMARY KEY' ELSE 'UNIQUE' END AS constraint_type,
+        string_agg(s_name, ',' ORDER BY s_suppkey DESC) AS key_columns
+       FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey % 3 <> 0 GROUP BY ALL""",
+)(lambda t: _key_metadata(t))
+
+
+def _key_metadata(t: Tables) -> DataFrame:
+    """Nations stand for constraints and suppliers for their columns, ordered from the last to the first."""
+    place = [F.concat(F.lit("s"), "n_regionkey").alias("table_schema"), F.concat(F.lit("t"), "n_nationkey").alias("table_name")]
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "CHECK").when(F.col("n_nationkey") % 2 == 0, "PRIMARY KEY").otherwise("UNIQUE")
+    constraints = t.nation.select(F.col("n_name").alias("constraint_name"), *place, kind.alias("constraint_type"))
+    columns = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("constraint_name"), *place, F.col("s_name").alias("column_name"), (-F.col("s_suppkey")).alias("ordinal_position")
+    )
+    return joins.key_columns(constraints, columns).withColumn("key_columns", F.array_join("key_columns", ","))
+
+
+query(
+    "literal_rows",
+    "SELECT n_nationkey, label FROM nation JOIN (VALUES (0, 'near'), (3, 'far')) v(k, label) ON n_regionkey = k",
+)(
+    lambda t: t.nation.join(literal_df(t.spark, [(0, "near"), (3, "far")], "n_regionkey long, label string"), "n_regionkey").select(
+        "n_nationkey", "label"
+    )
+)
+
 query(
     "intersect_by_key",
     f"""WITH {SIDES} SELECT CAST(l.o_orderkey AS VARCHAR) AS o_orderkey, l.o_custkey AS left_o_custkey,
