@@ -46,7 +46,7 @@ SKETCH_WORDS = 32
 #: blocks per smallest size of a band, for both kinds of bands
 OWN_BLOCKS, EDGE_BLOCKS = 0.56, 0.28
 #: pivots per group in the first round, and the factor from round to round
-PIVOTS, PIVOT_GROWTH = 1, 31
+PIVOTS, PIVOT_GROWTH = 1, 3
 
 _OWN, _EDGE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
