@@ -118,7 +118,8 @@ def rows_after_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     remaining = matched.select(
         *columns, (F.col("_copies") - F.when(is_first, 1).otherwise(0)).alias("_copies")
     )
-    return replicate(remaining, "_copies")
+    # stored, as expanding rows reads them twice: as they are, and spread over tasks for large counts
+    return replicate(materialize(remaining, "remaining"), "_copies")
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int = 5) -> DataFrame:
