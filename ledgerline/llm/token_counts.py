@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm.tokens import encoder
 
+#: texts whose new pre-tokens are encoded together
+TEXTS_AHEAD = 200
+
 
 def section_ends(text: str, separator: re.Pattern) -> np.ndarray:
     """End of every section; the last one ends with the text."""
@@ -70,13 +73,15 @@ def section_token_counts(docs: DataFrame, tokenizer: str | None = None, separato
     schema = pa.schema(_FIELDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, ends_section = encoder(path, special_is_text=True).token_spans, re.compile(separator)
+        own, ends_section = encoder(path, special_is_text=True), re.compile(separator)
         for batch in batches:
             ids, columns = [], [[] for _ in _FIELDS[1:]]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts)):
+                if i % TEXTS_AHEAD == 0:
+                    own.prepare_spans(texts[i : i + TEXTS_AHEAD])
                 bounds = section_ends(text, ends_section)
-                starts, ends = spans(text)
+                starts, ends = own.token_spans(text)
                 n = len(bounds)
                 ids += [doc_id] * n
                 begin = np.concatenate(([0], bounds[:-1]))

@@ -9,6 +9,8 @@ whole. Both ways give the same ids and spans; the tests compare them.
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Collection
 from itertools import chain
 
 import numpy as np
@@ -30,6 +32,10 @@ BYTE_PRETOKENS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\t\n\r {LETTERS}{NUMBERS}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
 )
 
+# Byte-level vocabularies write a byte as a printable character: itself, or one from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 class Encoder:
     """One tokenizer file with its kept pre-tokens."""
@@ -39,6 +45,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_is_text
+        self.model = self.tokenizer.model
         self.lowers = self.tokenizer.normalizer is not None
         self.pretokens = WORD_PRETOKENS if self.lowers else BYTE_PRETOKENS
         self.special_is_text = special_is_text
@@ -51,7 +58,7 @@ class Encoder:
             return None
         return self.pretokens.findall(text.lower() if self.lowers else text)
 
-    def _missing(self, words: list[str], kept: dict) -> list[str]:
+    def _missing(self, words: Collection[str], kept: dict) -> list[str]:
         if len(kept) > KEPT:
             kept.clear()
         return [w for w in set(words) if w not in kept]
@@ -65,11 +72,21 @@ class Encoder:
         try:
             return b"".join(map(kept.__getitem__, words))
         except KeyError:
-            missing = self._missing(words, kept)
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
+            for w in self._missing(words, kept):
+                tokens = self.model.tokenize(w.encode("utf-8").decode("latin-1").translate(_BYTE_CHARACTERS))
+                kept[w] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
             return b"".join(map(kept.__getitem__, words))
 
+    def prepare_spans(self, texts: list[str]) -> None:
+        """Encode the pre-tokens of several texts that are not kept yet in one go."""
+        words = set(chain.from_iterable(filter(None, map(self._split, texts))))
+        self._keep_spans(self._missing(words, self.spans))
+
+    def _keep_spans(self, missing: list[str]) -> None:
+        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+            both = np.array(e.offsets, "<u4").reshape(-1, 2)
+            self.spans[w] = both[:, 0].tobytes(), both[:, 1].tobytes()
+
     def token_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of every token, for tokenizers that keep all characters."""
         words = self._split(text)
@@ -78,10 +95,7 @@ class Encoder:
             both = np.fromiter(chain.from_iterable(spans), np.int64).reshape(-1, 2)
             return both[:, 0], both[:, 1]
         kept = self.spans
-        missing = self._missing(words, kept)
-        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            both = np.array(e.offsets, "<u4").reshape(-1, 2)
-            kept[w] = both[:, 0].tobytes(), both[:, 1].tobytes()
+        self._keep_spans(self._missing(words, kept))
         found = [kept[w] for w in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         tokens = np.fromiter((len(s) // 4 for s, _ in found), np.int64, len(words))
