@@ -185,15 +185,9 @@ def list_outputs(spark: SparkSession, path: str) -> DataFrame:
     return files.load(path).select("path", "length")
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:
-    """Text lines with their 1-based number in the file: (path, line_no, line).
-
-    A line's number is its position in the file split plus the lines of earlier
-    splits, so a large file is numbered by many tasks. Lines are stored once with their
-    split, as the splits of two reads may differ; so are the counts per split, whose size
-    then decides their join. ``modified`` is the file's time, ``path`` is not URI-encoded.
-    """
-    placed = (
+def _placed_lines(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:
+    """Text lines with their file, file time, split and position; positions rise within a split."""
+    return (
         spark.read.options(**options)
         .text(path)
         .select(
@@ -204,7 +198,39 @@ def numbered_lines(spark: SparkSession, path: str | list[str], **options: object
             F.col("value").alias("line"),
         )
     )
-    lines = materialize(placed, "lines")
+
+
+def first_lines(spark: SparkSession, path: str | list[str], n: int, **options: object) -> DataFrame:
+    """The first ``n`` lines of every file as ``numbered_lines`` gives them, without storing the text.
+
+    Each task keeps at most ``n`` lines per file before the shuffle.
+    """
+    order = Window.partitionBy("path").orderBy("_start", "_pos")
+    ranked = _placed_lines(spark, path, **options).withColumn("line_no", F.row_number().over(order))
+    return ranked.filter(F.col("line_no") <= n).select("path", F.col("line_no").cast("long").alias("line_no"), "line", "modified")
+
+
+def last_lines(spark: SparkSession, path: str | list[str], n: int = 5, **options: object) -> DataFrame:
+    """The last ``n`` lines of every file: (path, line_no, line), without storing the text.
+
+    Each task keeps at most ``n`` lines per file; their numbers follow from one count per file.
+    """
+    placed = _placed_lines(spark, path, **options)
+    counts = placed.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("path").orderBy(F.desc("_start"), F.desc("_pos"))
+    ranked = placed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
+    return ranked.join(counts, "path").select("path", (F.col("_n") - F.col("_rank") + 1).alias("line_no"), "line")
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:
+    """Text lines with their 1-based number in the file: (path, line_no, line).
+
+    A line's number is its position in the file split plus the lines of earlier
+    splits, so a large file is numbered by many tasks. Lines are stored once with their
+    split, as the splits of two reads may differ; so are the counts per split, whose size
+    then decides their join. ``modified`` is the file's time, ``path`` is not URI-encoded.
+    """
+    lines = materialize(_placed_lines(spark, path, **options), "lines")
     earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         lines.groupBy("path", "_start")

@@ -433,13 +433,13 @@ query(
     "file_header_scan",
     f"""WITH {FEED} SELECT file, source AS key, CAST(f2 = '' AS INT) + CAST(f3 = '' AS INT) + CAST(f6 = '' AS INT) AS empty_fields
         FROM feed WHERE line_no = 2""",
-)(lambda t: files.file_header_scan(feed_lines(t)).select(_file_no().alias("file"), "key", "empty_fields"))
+)(lambda t: files.file_header_scan(files.first_lines(t.spark, write_feed(t), 2)).select(_file_no().alias("file"), "key", "empty_fields"))
 
 query(
     "tail_lines",
     f"""WITH {FEED} SELECT file, line_no, doc_id FROM feed QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no DESC) <= 5""",
 )(
-    lambda t: files.tail_lines(feed_lines(t)).select(
+    lambda t: files.last_lines(t.spark, write_feed(t)).select(
         _file_no().alias("file"), "line_no", files.nth_field(F.col("line"), 1).cast("long").alias("doc_id")
     )
 )
@@ -457,7 +457,7 @@ def ticket_tokens(t: Tables) -> DataFrame:
     )
     names.write.text(listing)
     tickets = files.read_pipe_list(t.spark, listing)
-    return files.join_tickets(tickets, files.extract_token(files.numbered_lines(t.spark, feed))).select("token", "ticket")
+    return files.join_tickets(tickets, files.extract_token(files.first_lines(t.spark, feed, 3))).select("token", "ticket")
 
 
 @query(

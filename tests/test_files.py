@@ -29,10 +29,17 @@ def test_numbering_over_many_splits(spark, tmp_path):
         df = files.numbered_lines(spark, str(tmp_path))
         got = {(os.path.basename(r.path), r.line_no): r.line for r in df.collect()}
         tail = files.tail_lines(df).groupBy("path").count().collect()
+        last = files.last_lines(spark, str(tmp_path)).collect()
+        first = files.first_lines(spark, str(tmp_path), 4).collect()
+        plan = files.first_lines(spark, str(tmp_path), 4)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == expected
     assert sorted(r["count"] for r in tail) == [3, 5]
+    name = lambda r: (os.path.basename(r.path), r.line_no)
+    assert {name(r): r.line for r in last} == {k: v for k, v in expected.items() if k[0] == "small.log" or k[1] > 19_995}
+    assert {name(r): r.line for r in first} == {k: v for k, v in expected.items() if k[1] <= 4}
+    assert plan.count("WindowGroupLimit") == 2
 
 
 def test_header_scan_and_tokens(spark, tmp_path, rows):
