@@ -27,7 +27,7 @@ from ledgerline.llm.samples import labelled_sample
 from ledgerline.llm.words import blocks, word_hashes
 
 #: sampled labelled documents per class
-PER_CLASS = 3000
+PER_CLASS = 1500
 DIRECTIONS = 64
 NEIGHBOURS = 25
 #: higher powers let the nearest neighbours weigh more
@@ -120,9 +120,12 @@ def fit(terms: np.ndarray, labels: np.ndarray, directions: int = DIRECTIONS, nei
     """Latent directions of the sample's weighted terms, by an eigenvalue problem in the number of terms."""
     n = len(terms)
     weights = np.log((1 + n) / (1 + (terms > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x = terms * weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
-    _, axes = np.linalg.eigh((x.T @ x).astype(np.float64)) if n else (None, np.eye(TERMS))
+    product = np.zeros((TERMS, TERMS))
+    for i in range(0, n, 500):  # in blocks, to hold the sample once only
+        x = terms[i : i + 500] * weights
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+        product += x.T @ x
+    _, axes = np.linalg.eigh(product) if n else (None, np.eye(TERMS))
     model = Model(weights, axes[:, ::-1][:, :directions].astype(np.float32), np.zeros((0, directions), np.float32), labels.astype(np.float64), neighbours)
     model.vectors = model.embed(terms)
     return model
@@ -131,15 +134,16 @@ def fit(terms: np.ndarray, labels: np.ndarray, directions: int = DIRECTIONS, nei
 def fit_quality(docs: DataFrame, labels: DataFrame, training: Column | str, per_class: int = PER_CLASS, label: str = "quality") -> Model:
     """Fit on at most ``per_class`` labelled documents of each class; their terms are worked out in tasks."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series(list(text_terms(batch.tolist())))
+            yield pd.Series([row.tobytes() for row in text_terms(batch.tolist())], dtype=object)
 
     sample = labelled_sample(docs, labels, label, training, per_class)
-    rows = sample.select("doc_id", "label", terms("text").alias("terms")).toPandas().sort_values("doc_id")  # bounded by per_class
-    found = np.stack(rows.terms.to_numpy()) if len(rows) else np.zeros((0, TERMS), np.float32)
-    return fit(found, rows.label.to_numpy())
+    rows = sample.select("doc_id", "label", terms("text").alias("terms")).collect()  # bounded by per_class, 4.3 kB each
+    rows.sort(key=lambda r: r.doc_id)
+    found = np.frombuffer(b"".join(r.terms for r in rows), np.float32).reshape(-1, TERMS)
+    return fit(found, np.array([r.label for r in rows]))
 
 
 def quality_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
