@@ -192,10 +192,11 @@ def _pair_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: i
 
 
 def block_groups(keys: DataFrame, spare: DataFrame) -> DataFrame:
-    """(key, node) of the blocks shared by several nodes that stay when every node has left out its most common ones.
+    """(key, node, weight) of the blocks shared by several nodes that stay when every node has left out its most common ones.
 
     One shuffle brings the keys together; only shared ones go on. A node's blocks are ordered by how many
     nodes share them, then by key, alike for all nodes; those that nobody shares come last and always stay.
+    ``weight`` is the number of a node's shared blocks: in a group of edited copies, highest for the least edited.
     """
     group = Window.partitionBy("key")
     shared = (
@@ -206,7 +207,9 @@ def block_groups(keys: DataFrame, spare: DataFrame) -> DataFrame:
     shared = materialize(shared, "shared")
     allowed = F.when(F.col("key") % 2 == 0, F.col("spare0")).otherwise(F.col("spare1"))
     rank = F.row_number().over(Window.partitionBy("node", F.col("key") % 2).orderBy(F.desc("held"), "key"))
-    rows = shared.withColumn("_rank", rank).join(spare, "node").filter(F.col("_rank") > allowed).select("key", "node").distinct()
+    weight = F.count(F.lit(1)).over(Window.partitionBy("node", F.col("key") % 2)).alias("weight")
+    ranked = shared.select("*", rank.alias("_rank"), weight)
+    rows = ranked.join(spare, "node").filter(F.col("_rank") > allowed).groupBy("key", "node").agg(F.max("weight").alias("weight"))
     rows = materialize(rows, "rows")
     # groups with the same members are one
     member = F.xxhash64("node")
@@ -214,7 +217,7 @@ def block_groups(keys: DataFrame, spare: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 32)).alias("y")
     )
     chosen = groups.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    return rows.join(materialize(chosen.select("key"), "groups"), "key").select("key", "node")
+    return rows.join(materialize(chosen.select("key"), "groups"), "key").select("key", "node", "weight")
 
 
 def linked_nodes(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
@@ -225,10 +228,11 @@ def linked_nodes(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size:
     links = None
     pivots = PIVOTS
     while True:
-        # a group's first node leads it; its component needs no further pivots
-        led = members.join(components, "node").withColumn("lead", F.min_by("component", "node").over(Window.partitionBy("key")))
+        # a group's first node, the least edited one, leads it; its component needs no further pivots
+        first = F.struct(-F.col("weight"), F.col("node"))
+        led = members.join(components, "node").withColumn("lead", F.min_by("component", first).over(Window.partitionBy("key")))
         waiting = led.filter(~F.col("done") & ((F.col("component") != F.col("lead")) | F.lit(links is None)))
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
         chosen = waiting.withColumn("_turn", turn).filter(F.col("_turn") <= pivots)
         chosen = materialize(chosen.select("key", F.col("node").alias("pivot"), F.col("component").alias("of")), "pivots")
         if chosen.isEmpty():
@@ -245,7 +249,7 @@ def linked_nodes(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size:
         components = materialize(connected_components(nodes, links, "node", "a", "b"), "components")
         turned = chosen.select("key", F.col("pivot").alias("node"), F.lit(True).alias("turned"))
         members = materialize(
-            members.join(turned, ["key", "node"], "left").select("key", "node", (F.col("done") | F.coalesce("turned", F.lit(False))).alias("done")),
+            members.join(turned, ["key", "node"], "left").select("key", "node", "weight", (F.col("done") | F.coalesce("turned", F.lit(False))).alias("done")),
             "members",
         )
         pivots *= PIVOT_GROWTH
