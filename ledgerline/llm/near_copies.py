@@ -346,14 +346,3 @@ def _named(texts: DataFrame, size: int) -> DataFrame:
 
     named = texts.mapInArrow(name, "node long, text string").filter("node IS NOT NULL")
     return named.groupBy("node").agg(F.min("text").alias("text"))
-
-
-def first_of_each_class(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
-    """The documents without near copies: of every class the row with the smallest id stays.
-
-    Rows without id stay if their class has no id at all; of several such rows, and of several
-    rows of the smallest id, all stay that do not repeat the id and text of another.
-    """
-    classes = near_copy_classes(docs, size, p, q)
-    dropped = materialize(classes.filter("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti").dropDuplicates(["doc_id", "text"])

@@ -72,3 +72,32 @@ def test_columns_stay(steps):
 
 def test_run_gives_the_last_stage(spark, steps):
     assert corpus_pipeline.run(spark, FOLDER).agg(F.sum("length"), F.count("*")).first() == steps[-1].agg(F.sum("length"), F.count("*")).first()
+
+
+def kept_copies(spark, docs):
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    found = stage(spark, docs, FOLDER)
+    assert found.columns == docs.columns
+    return Counter((r.doc_id, r.text) for r in found.collect())
+
+
+def test_unique_rows_without_id_stay(spark, documents, prose):
+    c, d = prose(50, 3), prose(50, 4)
+    rows = [(7, c), (None, c), (None, d), (None, None), (None, "")]
+    assert kept_copies(spark, documents(rows)) == Counter([(7, c), (None, d), (None, None), (None, "")])
+
+
+def test_one_of_a_class_without_ids_stays(spark, documents, prose):
+    a = prose(80, 1)
+    copies = [a, a, a + " x", a + " y", a.upper()]
+    kept = kept_copies(spark, documents([(None, t) for t in copies] + [(3, prose(50, 5))]))
+    assert kept.pop((3, prose(50, 5))) == 1
+    assert sum(kept.values()) == 1 and all(i is None and t in copies for i, t in kept)
+
+
+def test_one_of_edited_texts_of_an_id_stays(spark, documents, prose):
+    a, b = prose(80, 1), prose(50, 2)
+    copies = [a, a + " x", a + " y", a, a + " x"]
+    kept = kept_copies(spark, documents([(5, t) for t in copies] + [(6, b)]))
+    assert kept.pop((6, b)) == 1
+    assert sum(kept.values()) == 1 and all(i == 5 and t in copies for i, t in kept)
