@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -90,14 +91,20 @@ class Model:
         return 1 / (1 + math.exp(-max(min(z, 700.0), -700.0)))
 
 
-def counterfactuals(text: str, terms: frozenset[str], neutral: str = NEUTRAL) -> Iterator[tuple[list[str], list[str]]]:
-    """Words of each sentence that names a group, and the same with the term swapped."""
+def term_swaps(text: str, terms: frozenset[str], neutral: str = NEUTRAL) -> Iterator[tuple[set[str], str, str]]:
+    """Words of each sentence that names a group, the term and what it is swapped for."""
     for sentence in SENTENCE_END.split(text):
         words = set(WORD.findall(sentence.lower()))
         for term in sorted(words & terms):
             for other in (*sorted(terms), neutral):
                 if other not in words:
-                    yield sorted(words), sorted(words - {term} | {other})
+                    yield words, term, other
+
+
+def counterfactuals(text: str, terms: frozenset[str], neutral: str = NEUTRAL) -> Iterator[tuple[list[str], list[str]]]:
+    """Words of each sentence that names a group, and the same with the term swapped."""
+    for words, term, other in term_swaps(text, terms, neutral):
+        yield sorted(words), sorted(words - {term} | {other})
 
 
 def _matrix(rows: Sequence[dict[str, int]], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,20 +119,26 @@ def fit(
     lengths: Sequence[int],
     labels: np.ndarray,
     features: Sequence[str],
-    swaps: Sequence[tuple[dict[str, int], dict[str, int]]],
+    swaps: Mapping[tuple[str, str], int],
     name: str,
     fairness: float = 5.0,
     ridge: float = 1e-4,
     rounds: int = 600,
 ) -> Model:
-    """Minimise log loss + ridge |w|^2 + fairness * mean squared score change under swaps, by Adam."""
+    """Minimise log loss + ridge |w|^2 + fairness * mean squared score change under swaps, by Adam.
+
+    A swap changes the score by the features of its two terms only, whatever the sentence;
+    ``swaps`` holds how often each term was swapped for each other.
+    """
     n, positives = len(labels), float(np.sum(labels))
     if not n or positives in (0.0, float(n)):
         rate = (positives + 0.5) / (n + 1)
         return Model(intercept=math.log(rate / (1 - rate)), name=name)
     at = {f: i for i, f in enumerate(features)}
     r, c, v = _matrix(rows, at)
-    sr, sc, sv = _matrix([{f: a.get(f, 0) - b.get(f, 0) for f in {*a, *b}} for a, b in swaps], at)
+    pairs = [(features_of([a]), features_of([b])) for a, b in swaps]
+    sr, sc, sv = _matrix([{f: a.get(f, 0) - b.get(f, 0) for f in {*a, *b}} for a, b in pairs], at)
+    times = np.array(list(swaps.values()), np.float64)
     extra = np.log1p(np.asarray(lengths, np.float64))
     y = np.asarray(labels, np.float64)
     theta, m1, m2 = (np.zeros(len(at) + 2) for _ in range(3))
@@ -135,8 +148,8 @@ def fit(
         e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
         grad = np.concatenate((np.bincount(c, v * e[r], len(at)) + 2 * ridge * w, [e.sum(), e @ extra]))
         if len(swaps):
-            change = np.bincount(sr, sv * w[sc], len(swaps))
-            grad[:-2] += 2 * fairness / len(swaps) * np.bincount(sc, sv * change[sr], len(at))
+            change = np.bincount(sr, sv * w[sc], len(swaps)) * times
+            grad[:-2] += 2 * fairness / times.sum() * np.bincount(sc, sv * change[sr], len(at))
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad * grad
         theta -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
@@ -156,13 +169,13 @@ def fit_toxicity(
     """Fit on at most ``per_class`` labelled documents of each class.
 
     Document frequencies per label are counted by Spark; what reaches the driver is
-    bounded by ``MOST_FEATURES`` and the sample: per document its known features, and the
-    sentences that name a group.
+    bounded by ``MOST_FEATURES`` and the sample: per document its known features, and one
+    row per pair of swapped terms.
     """
     from ledgerline.session import materialize
 
     groups = frozenset(terms)
-    found = "words int, features array<string>, counts array<int>, swaps array<struct<a:array<string>,b:array<string>>>"
+    found = "words int, features array<string>, counts array<int>, swaps array<struct<term:string,other:string,times:long>>"
 
     @F.pandas_udf(found)
     def analyse(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -171,7 +184,8 @@ def fit_toxicity(
             for text in batch:
                 words = distinct_words(text)
                 own = features_of(words)
-                swaps = [{"a": a, "b": b} for a, b in counterfactuals(text, groups)]
+                swapped = Counter((term, other) for _, term, other in term_swaps(text, groups))
+                swaps = [{"term": a, "other": b, "times": n} for (a, b), n in swapped.items()]
                 rows.append((len(words), list(own), list(own.values()), swaps))
             yield pd.DataFrame(rows, columns=["words", "features", "counts", "swaps"])
 
@@ -192,8 +206,9 @@ def fit_toxicity(
     clear = frequency.withColumn("z", F.abs(p - q) / error).filter(F.col("z") >= CLEAR)
     kept = [r.feature for r in clear.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
     known = F.filter(F.arrays_zip("features", "counts"), lambda x: x["features"].isin(*kept)) if kept else F.array()
-    rows = stored.orderBy("doc_id").select("label", "words", known.alias("known"), "swaps").collect()  # bounded by per_class
-    swaps = [(features_of(s.a), features_of(s.b)) for r in rows for s in r.swaps]
+    rows = stored.orderBy("doc_id").select("label", "words", known.alias("known")).collect()  # bounded by per_class
+    swapped = stored.select(F.explode("swaps").alias("s")).select("s.*").groupBy("term", "other").agg(F.sum("times").alias("times"))
+    swaps = {(r.term, r.other): r.times for r in swapped.orderBy("term", "other").collect()}  # bounded by the terms squared
     return fit(
         [{x[0]: x[1] for x in r.known} for r in rows],
         [r.words for r in rows],

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,3 +129,16 @@ def test_sample_is_bounded_and_folds_follow_the_id(spark, documents):
     import zlib
 
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+
+
+def test_swaps_are_counted_before_they_are_collected(spark, documents, monkeypatch):
+    texts = ["Women and men eat. Girls run! " * 300, "Men sleep. " * 200, "Nobody here."]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, lengths, labels, features, swaps, **rest: seen.append(swaps))
+    marks = labelled(spark, [(i, 0, i % 2) for i in range(3)])
+    toxicity.fit_toxicity(documents(list(enumerate(texts))), marks, ALL, terms=("women", "men", "girls"))
+    assert len(seen[0]) <= 3 * 3
+    whole = Counter()
+    for words, swapped in (x for t in texts for x in toxicity.counterfactuals(t, frozenset(("women", "men", "girls")))):
+        whole[(*(set(words) - set(swapped)), *(set(swapped) - set(words)))] += 1
+    assert seen[0] == whole
