@@ -27,7 +27,7 @@ from ledgerline.llm.samples import labelled_sample
 from ledgerline.llm.words import blocks, word_hashes
 
 #: sampled labelled documents per class
-PER_CLASS = 1500
+PER_CLASS = 3000
 DIRECTIONS = 64
 NEIGHBOURS = 25
 #: higher powers let the nearest neighbours weigh more

@@ -142,3 +142,9 @@ def test_swaps_are_counted_before_they_are_collected(spark, documents, monkeypat
     for words, swapped in (x for t in texts for x in toxicity.counterfactuals(t, frozenset(("women", "men", "girls")))):
         whole[(*(set(words) - set(swapped)), *(set(swapped) - set(words)))] += 1
     assert seen[0] == whole
+
+
+def test_quality_sample_takes_all_of_three_thousand_per_class(spark, documents):
+    docs = documents([(i, f"t{i} %") for i in range(4000)])
+    model = quality.fit_quality(docs, labelled(spark, [(i, i % 2, 0) for i in range(4000)]), ALL)
+    assert len(model.labels) == 4000
