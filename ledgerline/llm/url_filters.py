@@ -69,17 +69,24 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return (none, none) if text is None else (text, verdict)
 
 
+def is_address(host: Column) -> Column:
+    """An IPv4 address, or an IPv6 address in brackets."""
+    return host.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+
+
 def registered_domain(host: Column, long_suffixes: Sequence[str] = ("co.uk", "com.au", "co.jp")) -> Column:
-    """The suffix and one label before it; a host of one label is its own domain."""
+    """The suffix and one label before it; a host of one label is its own domain, as is an address. Ports don't count."""
+    host = F.regexp_replace(host, ":[0-9]*$", "")
     labels = F.split(host, r"\.")
     two, three = (F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(n)), n), ".") for n in (2, 3))
-    return F.when(two.isin(*long_suffixes), three).otherwise(two) if long_suffixes else two
+    named = F.when(two.isin(*long_suffixes), three).otherwise(two) if long_suffixes else two
+    return F.when(is_address(host), host).otherwise(named)
 
 
 def suffix_of(domain: Column) -> Column:
-    """What follows the first dot of a registered domain; without one, the domain itself."""
+    """What follows the first dot of a registered domain; without one, or of an address, the domain itself."""
     at = F.instr(domain, ".")
-    return F.when(at > 0, F.substring(domain, at + F.lit(1), F.length(domain))).otherwise(domain)
+    return F.when((at > 0) & ~is_address(domain), F.substring(domain, at + F.lit(1), F.length(domain))).otherwise(domain)
 
 
 @dataclass(frozen=True)

@@ -77,3 +77,17 @@ def test_same_result_with_and_without_broadcast(spark, limit):
         assert {h.split(".")[0] for h in blocked} == {"h0", "h1", "h2"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ports_and_addresses(spark):
+    hosts = ["a.b.com:8080", "b.com", "1.2.3.4:80", "9.2.3.4", "[::1]:80", "[fe80::1.2]"]
+    domain = registered_domain(F.col("h"))
+    found = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", domain, suffix_of(domain)).collect()
+    assert {r[0]: tuple(r[1:]) for r in found} == {
+        "a.b.com:8080": ("b.com", "com"),
+        "b.com": ("b.com", "com"),
+        "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"),
+        "9.2.3.4": ("9.2.3.4", "9.2.3.4"),
+        "[::1]:80": ("[::1]", "[::1]"),
+        "[fe80::1.2]": ("[fe80::1.2]", "[fe80::1.2]"),
+    }
