@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from ledgerline.llm.alignment import aligned_documents
 from ledgerline.llm.periodic_runs import periodic_runs
+from ledgerline.llm.pii import KINDS, find_pii, fit_pii
 from ledgerline.llm.registry import query
 
 
@@ -34,6 +35,20 @@ def _strongest(runs: Column) -> Column:
     )
 
 
+def _listed(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op11_personal_data")
+def personal_data(t):
+    found = find_pii(t.documents, fit_pii(t.documents))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def sha256_of(text: str) -> str:
     """Lower-case hex digest of a text."""
     return hashlib.sha256(text.encode("ascii")).hexdigest()
