@@ -52,9 +52,11 @@ FAN_IN = 512
 #: compressed bytes of document streams that one task reads of a radix
 SECTION_BYTES = 64 << 20
 #: chunk occurrences in a block of documents
-BLOCK_CHUNKS = 300_000
+BLOCK_CHUNKS = 150_000
 #: chunks kept per process, and links of kept chunks
 KEPT_CHUNKS, KEPT_LINKS = 300_000, 4_000_000
+#: new chunks encoded as one text
+TOGETHER = 2_000
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -78,8 +80,8 @@ class ByteLevelSide:
             if all(c in _BYTE_OF for c in piece):
                 self.bytes[i] = bytes(_BYTE_OF[c] for c in piece)
 
-    def encode(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
 
 class PieceSide:
@@ -95,8 +97,8 @@ class PieceSide:
             bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode("utf-8") for i, p in enumerate(pieces)
         ]
 
-    def encode(self, chunks: list[str]) -> list[list[int]]:
-        return self.model.encode(chunks, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
 
 
 class Chunks:
@@ -111,7 +113,8 @@ class Chunks:
         self.sides = first, second
         self.splits = second.splits
         self.lengths = [np.array([len(b) for b in s.bytes], np.int64) for s in self.sides]
-        self.names = [[str(i) for i in range(len(s.bytes))] for s in self.sides]
+        # names of all ids with what may follow: a token of the same side, the other side, a group, a chunk
+        self.names = [[f"{i}{mark}" for mark in ",|;\n" for i in range(len(s.bytes))] for s in self.sides]
         self.clear()
 
     def clear(self) -> None:
@@ -126,67 +129,61 @@ class Chunks:
         if len(self.index) > KEPT_CHUNKS or len(self.pairs) > KEPT_LINKS:
             self.clear()
         missing = list(dict.fromkeys(c for c in chain.from_iterable(cut) if c not in self.index))
-        for i in range(0, len(missing), 20_000):
-            self._add(missing[i : i + 20_000])
+        # chunks with white space at an end can't stand beside others
+        apart = [c for c in missing if c[0].isspace() or c[-1].isspace()]
+        if apart or not self.splits:
+            alone = set(apart if self.splits else missing)
+            missing = [c for c in missing if c not in alone]
+            for c in alone:
+                self._add([c])
+        for i in range(0, len(missing), TOGETHER):
+            self._add(missing[i : i + TOGETHER])
         bounds = np.cumsum([0, *map(len, cut)])
         return np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, bounds[-1]), bounds
 
     def _add(self, chunks: list[str]) -> None:
-        encoded = [s.encode(chunks) for s in self.sides]
-        fits = [
-            all(b"".join(map(s.bytes.__getitem__, e[i])) == data for s, e in zip(self.sides, encoded))
-            for i, data in enumerate((" " + c).encode("utf-8") for c in chunks)
-        ]
-        encoded = [[ids if ok else [] for ids, ok in zip(e, fits)] for e in encoded]
-        ids = [np.fromiter(chain.from_iterable(e), np.int64) for e in encoded]
-        counts = [np.fromiter(map(len, e), np.int64, len(chunks)) for e in encoded]
+        """Encode chunks as one text and keep the alignment of each."""
+        text = " ".join(chunks)
+        data = (" " + text).encode("utf-8")
+        encoded = [s.encode(text) for s in self.sides]
+        if any(b"".join(map(s.bytes.__getitem__, e)) != data for s, e in zip(self.sides, encoded)):
+            if len(chunks) > 1:
+                for part in (chunks[: len(chunks) // 2], chunks[len(chunks) // 2 :]):
+                    self._add(part)
+                return
+            encoded = [], []
+        ids = [np.array(e, np.int64) for e in encoded]
         ends = [np.cumsum(n[i]) for n, i in zip(self.lengths, ids)]
-        shared = np.intersect1d(*ends)  # chunks end for both sides, so no group crosses chunks
+        chunk_ends = np.cumsum([1 + len(c.encode("utf-8")) for c in chunks])
+        shared = np.intersect1d(*ends, assume_unique=True)  # chunks end for both sides, so no group crosses chunks
         group = [np.searchsorted(shared, e) for e in ends]
-        chunk_of = [np.repeat(np.arange(len(chunks)), n) for n in counts]
+        chunk_of = [np.searchsorted(chunk_ends, e) for e in ends]
         b_first = np.searchsorted(group[1], np.arange(len(shared)))
-        b_count = np.bincount(group[1], minlength=len(shared))
-        per_a = b_count[group[0]]
+        per_a = np.bincount(group[1], minlength=len(shared))[group[0]]
         starts = np.cumsum(per_a) - per_a
         partner = np.repeat(b_first[group[0]] - starts, per_a) + np.arange(per_a.sum())
-        key = np.repeat(chunk_of[0] << 32 | ids[0] << 16, per_a) | ids[1][partner]
-        key, times = np.unique(key, return_counts=True)
-        self.pairs.extend((key & 0xFFFFFFFF).astype(np.uint32).tolist())
-        self.times.extend(times.tolist())
-        owned = np.bincount(key >> 32, minlength=len(chunks))
-        self.ends.extend((self.ends[-1] + np.cumsum(owned)).tolist())
+        key = np.sort(np.repeat(chunk_of[0] << 32 | ids[0] << 16, per_a) | ids[1][partner])
+        firsts = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[firsts], np.diff(firsts, append=len(key))
+        self.pairs.frombytes((key & 0xFFFFFFFF).astype(np.uint32).tobytes())
+        self.times.frombytes(times.astype(np.uint32).tobytes())
+        self.ends.frombytes((self.ends[-1] + np.cumsum(np.bincount(key >> 32, minlength=len(chunks)))).astype(np.int64).tobytes())
+        tokens = [np.bincount(c, minlength=len(chunks)) for c in chunk_of]
         n_links = np.bincount(chunk_of[0], per_a, len(chunks)).astype(np.int64)
-        closed = np.bincount(chunk_of[1][np.flatnonzero(np.diff(group[1], append=-1))], minlength=len(chunks))
-        self.numbers.extend(np.stack((*counts, closed, n_links), axis=1).ravel().tolist())
-        self._name_groups(chunks, fits, encoded, counts, group)
-
-    def _name_groups(self, chunks: list[str], fits: list[bool], encoded: list, counts: list, group: list) -> None:
-        """Groups as ``a1,a2|b1;a3|b2,b3``; None marks a chunk whose bytes differ."""
-        marks = []
-        for names, e, g, of in zip(self.names, encoded, group, (0, 1)):
-            # what follows each token: a comma within a group, the other side or the next group after it
-            last = np.diff(g, append=-1) != 0
-            marks.append(([names[i] for i in chain.from_iterable(e)], last.tolist()))
-        (a_names, a_last), (b_names, b_last) = marks
-        a = b = 0
-        for chunk, ok, n_a, n_b in zip(chunks, fits, counts[0].tolist(), counts[1].tolist()):
-            self.index[chunk] = len(self.groups)
-            if not ok:
-                self.groups.append(None)
-                continue
-            parts, a_end, b_end = [], a + n_a, b + n_b
-            while a < a_end:
-                i = a
-                while not a_last[a]:
-                    a += 1
-                a += 1
-                j = b
-                while not b_last[b]:
-                    b += 1
-                b += 1
-                parts.append(f"{','.join(a_names[i:a])}|{','.join(b_names[j:b])}")
-            self.groups.append(";".join(parts))
-            b = b_end
+        n_groups = np.bincount(np.searchsorted(chunk_ends, shared), minlength=len(chunks))
+        self.numbers.frombytes(np.stack((*tokens, n_groups, n_links), axis=1).astype(np.int64).tobytes())
+        self.index.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks))))
+        self.groups += self._named(ids, ends, group, chunk_ends) if len(shared) else [None] * len(chunks)
+
+    def _named(self, ids: list[np.ndarray], ends: list[np.ndarray], group: list[np.ndarray], chunk_ends: np.ndarray) -> list[str]:
+        """Groups of every chunk as ``a1,a2|b1;a3|b2,b3``."""
+        (a_names, b_names), (a_last, b_last) = self.names, [np.diff(g, append=-1) != 0 for g in group]
+        a_at = ids[0] + len(self.sides[0].bytes) * a_last
+        closes = np.isin(ends[1], chunk_ends, assume_unique=True)
+        b_at = ids[1] + len(self.sides[1].bytes) * (b_last * 2 + closes)
+        order = np.argsort(np.concatenate((group[0] * 2, group[1] * 2 + 1)), kind="stable")
+        names = np.array([*map(a_names.__getitem__, a_at.tolist()), *map(b_names.__getitem__, b_at.tolist())], object)[order]
+        return "".join(names.tolist()).split("\n")[:-1]
 
 
 def _aligner(first: str, second: str) -> Chunks:
