@@ -6,11 +6,20 @@ lost executor costs one round at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.operators.rows import global_rank, join_on
+from ledgerline.operators.rows import global_rank
 from ledgerline.session import materialize, materialize_with
 
+#: edges that a task joins at once
+EDGES_AT_ONCE = 2_000_000
+
 
 def hierarchy(edges: DataFrame, child: str = "user_id", parent: str = "mgr_id") -> DataFrame:
     """All (reportee_id, manager_id) pairs, direct and indirect; cycles are allowed.
@@ -45,48 +54,100 @@ def hierarchy(edges: DataFrame, child: str = "user_id", parent: str = "mgr_id")
         reach, known = wider, found
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
+def smallest_of_each(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest vertex of the component of each of the vertices 0 to n - 1 under the edges (a, b): union-find on arrays.
+
+    Per turn the root of every edge's larger side is hung below the smallest root it has an edge to, then all paths are
+    shortened to their roots.
+    """
+    parent = np.arange(n)
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = parent[parent]
+            if np.array_equal(further, parent):
+                break
+            parent = further
+
+
+def _stars_per_task(links: DataFrame, edges_at_once: int) -> DataFrame:
+    """Links (v, u) with the same components, where every task has joined what it reads: one link per vertex and stretch."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.num_rows
+            if held and (batch is None or size >= edges_at_once):
+                ends = pa.chunked_array([b.column(i) for i in (0, 1) for b in held]).combine_chunks().dictionary_encode()
+                order = pc.sort_indices(ends.dictionary).to_numpy()
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                ids = rank[ends.indices.to_numpy()]
+                least = smallest_of_each(len(order), ids[:size], ids[size:])
+                moved = np.flatnonzero(least != np.arange(len(order)))
+                columns = [ends.dictionary.take(pa.array(order[x])) for x in (moved, least[moved])]
+                yield pa.record_batch(columns, schema=held[0].schema)
+                held, size = [], 0
+
+    return links.mapInArrow(join, links.schema)
+
+
+def connected_components(
+    vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst", edges_at_once: int = EDGES_AT_ONCE
+) -> DataFrame:
     """Component of every vertex, named by its smallest vertex.
 
-    Alternates two star steps over distinct edges until every vertex points at
-    the smallest vertex of its component (large-star / small-star, Kiveris et al.
-    2014). Hubs only meet in minima and in joins against one row per vertex.
+    Every task first joins the edges it reads by union-find, so that few links are left to shuffle.
+    Then rounds of two star steps (large-star / small-star, Kiveris et al. 2014) move the links to the smallest
+    vertices. Before each round the vertices whose only link leads to a smaller one are settled: they leave the links
+    and keep a pointer. So rounds shrink, and the last one leaves nothing. At the end the pointers are followed, the latest
+    first. Hubs only meet in counts, minima and joins against one row per vertex.
     """
-    # a round that changes no link is the last; what tells links apart is summed while a round is written
-    mark = F.xxhash64("v", "u")
-    totals = [F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 40)).alias("s")]
-    links, state = materialize_with(
-        edges.select(F.greatest(src, dst).alias("v"), F.least(src, dst).alias("u"))
-        .dropna()
-        .filter("v <> u")
-        .distinct(),
-        "links",
-        *totals,
-    )
-    before = None
-    while state["n"] and state != before:
+    oriented = edges.select(F.greatest(src, dst).alias("v"), F.least(src, dst).alias("u")).dropna().filter("v <> u")
+    links = materialize(_stars_per_task(oriented, edges_at_once).distinct(), "links")
+    settled = []
+    while True:
+        both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        single = both.groupBy("v").agg(F.count(F.lit(1)).alias("_n"))
+        marked, seen = materialize_with(
+            links.join(single, "v").select("v", "u", (F.col("_n") == 1).alias("settled")),
+            "marked",
+            F.count_if("settled").alias("settled"),
+            F.count_if(~F.col("settled")).alias("open"),
+        )
+        if seen["settled"]:
+            settled.append(marked.filter("settled").select("v", "u"))
+        if not seen["open"]:
+            break
+        links = marked.filter("NOT settled").select("v", "u")
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         smallest = both.groupBy("v").agg(F.min("u").alias("_m")).select("v", F.least("v", "_m").alias("_m"))
         # every larger neighbour of a vertex is linked to the smallest vertex around it
-        large = (
-            join_on(both, smallest, ["v"])
-            .filter(F.col("u") > F.col("v"))
-            .select(F.col("u").alias("v"), F.col("_m").alias("u"))
-            .distinct()
-        )
+        large = both.join(smallest, "v").filter(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("_m").alias("u")).distinct()
         # read twice below; both readers share the shuffle of the distinct edges
         lowest = large.groupBy("v").agg(F.min("u").alias("_m"))
         # the smaller neighbours of a vertex, and the vertex itself, are linked to the smallest of them
         small = (
-            join_on(large, lowest, ["v"])
+            large.join(lowest, "v")
             .select(F.explode(F.array(F.struct("u", "_m"), F.struct(F.col("v").alias("u"), "_m"))).alias("_e"))
             .select(F.col("_e.u").alias("v"), F.col("_e._m").alias("u"))
             .filter("v <> u")
             .distinct()
         )
-        before = state
-        links, state = materialize_with(small, "links", *totals)
-    roots = links.withColumnsRenamed({"v": "_leaf", "u": "_root"})
+        links = materialize(small, "links")
+    roots = links.filter("false") if not settled else settled.pop()
+    while settled:
+        pointed = settled.pop()
+        known = roots.select(F.col("v").alias("u"), F.col("u").alias("_root"))
+        roots = materialize(pointed.join(known, "u", "left").select("v", F.coalesce("_root", "u").alias("u")).unionByName(roots), "roots")
+    roots = roots.withColumnsRenamed({"v": "_leaf", "u": "_root"})
     return vertices.join(roots, vertices[vertex] == roots["_leaf"], "left").select(
         *[vertices[c] for c in vertices.columns], F.coalesce("_root", vertices[vertex]).alias("component")
     )

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ledgerline.operators import graph
@@ -53,6 +54,29 @@ def test_components_of_random_graphs(spark, seed):
     assert {r.id: r.component for r in got.collect()} == components(vertices, edges)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_components_over_many_tasks(spark, seed):
+    rng = random.Random(seed)
+    vertices = list(range(300))
+    near = [(v, v + rng.choice([1, 1, 2, 7])) for v in vertices if rng.random() < 0.8 and v < 290]
+    edges = near + [(rng.choice(vertices), rng.choice(vertices)) for _ in range(seed * 8)] + [(5, None), (7, 7)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(7)
+    got = graph.connected_components(spark.createDataFrame([(v,) for v in vertices], "id long"), df, edges_at_once=9)
+    known = [e for e in edges if None not in e]
+    assert {r.id: r.component for r in got.collect()} == components(vertices, known)
+
+
+def test_union_find_on_arrays():
+    rng = random.Random(5)
+    for n in (1, 2, 10, 200):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]
+        a, b = (np.array([e[i] for e in edges]) for i in (0, 1))
+        assert graph.smallest_of_each(n, a, b).tolist() == list(components(range(n), edges).values())
+    path = np.arange(100_000)
+    assert not graph.smallest_of_each(100_001, path, path + 1).any()
+
+
 def test_components_with_text_ids_loops_and_loners(spark):
     vertices = spark.createDataFrame([(str(i), f"n{i}") for i in range(1, 9)], "id string, name string")
     edges = spark.createDataFrame([(str(i), str(i + 1), "friend") for i in range(1, 6)] + [("8", "8", "self")], "src string, dst string, relationship string")
