@@ -29,6 +29,8 @@ smallest id in it, or NULL if there is none. Extra columns take no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,9 @@ SKETCH_WORDS = 32
 #: blocks per smallest size of a band, for both kinds of bands
 OWN_BLOCKS, EDGE_BLOCKS = 0.56, 0.28
 #: pivots per group in the first round, and the factor from round to round
-PIVOTS, PIVOT_GROWTH = 1, 3
+PIVOTS, PIVOT_GROWTH = 1, 8
+#: one node in so many is asked for common keys; keys held by no more of these nodes are not common
+SAMPLED, LEAST_COMMON = 64, 100
 
 _OWN, _EDGE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -165,24 +169,14 @@ def node_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("node", "text").mapInArrow(gather, "node long, tokens array<long>")
 
 
-def _pair_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: first by set size and bit sketch, then by their tokens.
+def _near(n_a: Column, n_b: Column, sketch_a: str, sketch_b: str, p: int, q: int) -> Column:
+    """Whether set sizes and bit sketches allow a link."""
+    apart = reduce(add, [F.bit_count(F.col(f"{sketch_a}.s{i}").bitwiseXOR(F.col(f"{sketch_b}.s{i}"))) for i in range(SKETCH_WORDS)])
+    return (F.least(n_a, n_b) * q >= F.greatest(n_a, n_b) * p) & (apart * (q + p) <= (n_a + n_b) * (q - p))
 
-    Only the texts of nodes in pairs that pass the first test are read for their tokens.
-    """
-    sides = {x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
-    total = F.col("n_a") + F.col("n_b")
-    apart = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int")
-    )
-    near = (
-        pairs.join(sides["a"], "a")
-        .join(sides["b"], "b")
-        .filter((F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p) & (apart * (q + p) <= total * (q - p)))
-        .select("a", "b")
-        .distinct()
-    )
-    near = materialize(near, "near")
+
+def _verified(near: DataFrame, texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link by their tokens; only the texts of these nodes are read."""
     named = materialize(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "named")
     tokens = materialize(node_sets(texts.join(sized(named), "node", "left_semi"), size), "tokens")
     x, y = (tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
@@ -191,19 +185,41 @@ def _pair_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: i
     return near.join(x, "a").join(y, "b").filter(common * q >= union * p).select("a", "b").distinct()
 
 
-def block_groups(keys: DataFrame, spare: DataFrame) -> DataFrame:
+def _held(keys: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(node, key, held) of the keys that several nodes hold, with their number.
+
+    One shuffle brings equal keys together. Keys that would fill a partition alone, known from the keys of the ``sampled``
+    nodes, are at most as many as there are partitions; they are counted apart, map-side, and not brought together.
+    """
+    rows = keys.select("node", F.explode("keys").alias("key"))
+    spark = keys.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = materialize(sampled.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sampled")
+    share = (counted.agg(F.sum("n")).first()[0] or 0) / partitions
+    common = counted.filter(F.col("n") > max(share, LEAST_COMMON)).select("key")
+    apart = [r.key for r in common.collect()]  # fewer than there are partitions
+    many = F.col("key").isin(apart)
+    rest = rows.filter(~many).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("held > 1")
+    if not apart:
+        return rest
+    counts = rows.filter(many).groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    return rest.unionByName(rows.filter(many).join(F.broadcast(counts), "key").filter("held > 1").select("node", "key", "held"))
+
+
+def in_sample(node: str = "node") -> Column:
+    """Whether a node's keys are asked for common ones."""
+    return F.pmod(F.xxhash64(node), F.lit(SAMPLED)) == 0
+
+
+def block_groups(keys: DataFrame, spare: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
     """(key, node, weight) of the blocks shared by several nodes that stay when every node has left out its most common ones.
 
-    One shuffle brings the keys together; only shared ones go on. A node's blocks are ordered by how many
+    A node's blocks are ordered by how many
     nodes share them, then by key, alike for all nodes; those that nobody shares come last and always stay.
     ``weight`` is the number of a node's shared blocks: in a group of edited copies, highest for the least edited.
+    ``sampled`` holds the keys of the nodes in the sample, so that not all keys are worked out for it.
     """
-    group = Window.partitionBy("key")
-    shared = (
-        keys.select("node", F.explode("keys").alias("key"))
-        .withColumn("held", F.count(F.lit(1)).over(group))
-        .filter("held > 1")
-    )
+    shared = _held(keys, keys.filter(in_sample()) if sampled is None else sampled)
     shared = materialize(shared, "shared")
     allowed = F.when(F.col("key") % 2 == 0, F.col("spare0")).otherwise(F.col("spare1"))
     rank = F.row_number().over(Window.partitionBy("node", F.col("key") % 2).orderBy(F.desc("held"), "key"))
@@ -221,37 +237,42 @@ def block_groups(keys: DataFrame, spare: DataFrame) -> DataFrame:
 
 
 def linked_nodes(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
-    """(node, component) of all nodes in groups; components are those of all links within groups."""
-    members = materialize(groups.withColumn("done", F.lit(False)), "members")
-    nodes = materialize(members.select("node").distinct(), "nodes")
-    components = nodes.withColumn("component", F.col("node"))
-    links = None
+    """(node, component) of all nodes in groups; components are those of all links within groups.
+
+    A round compares the pivots of every group with its members; set sizes and bit sketches are compared within
+    the join, so only pairs that may link leave it. New links join components, not nodes.
+    """
+    words = F.struct(*[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH_WORDS)]).alias("sketch")
+    sketched = materialize(sketches.select("node", "n", words), "sketched")
+    members = materialize(groups.join(sketched, "node"), "members")
+    components = materialize(groups.select("node").distinct().withColumn("component", F.col("node")), "components")
+    turned = None
     pivots = PIVOTS
     while True:
         # a group's first node, the least edited one, leads it; its component needs no further pivots
-        first = F.struct(-F.col("weight"), F.col("node"))
-        led = members.join(components, "node").withColumn("lead", F.min_by("component", first).over(Window.partitionBy("key")))
-        waiting = led.filter(~F.col("done") & ((F.col("component") != F.col("lead")) | F.lit(links is None)))
+        led = groups.join(components, "node")
+        lead = led.groupBy("key").agg(F.min_by("component", F.struct(-F.col("weight"), F.col("node"))).alias("lead"))
+        waiting = led if turned is None else led.join(lead, "key").filter("component <> lead").join(turned, ["key", "node"], "left_anti")
         turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
-        chosen = waiting.withColumn("_turn", turn).filter(F.col("_turn") <= pivots)
-        chosen = materialize(chosen.select("key", F.col("node").alias("pivot"), F.col("component").alias("of")), "pivots")
+        chosen = waiting.withColumn("_turn", turn).filter(F.col("_turn") <= pivots).select("key", "node")
+        chosen = materialize(chosen, "chosen")
         if chosen.isEmpty():
             return components
-        other = led.select("key", "node", "component")
-        pairs = (
-            chosen.join(other, "key")
-            .filter("node <> pivot AND component <> of")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            .distinct()
-        )
-        found = _pair_links(materialize(pairs, "pairs"), sketches, texts, size, p, q)
-        links = materialize(found if links is None else links.unionByName(found), "links")
-        components = materialize(connected_components(nodes, links, "node", "a", "b"), "components")
-        turned = chosen.select("key", F.col("pivot").alias("node"), F.lit(True).alias("turned"))
-        members = materialize(
-            members.join(turned, ["key", "node"], "left").select("key", "node", "weight", (F.col("done") | F.coalesce("turned", F.lit(False))).alias("done")),
-            "members",
-        )
+        turned = chosen if turned is None else turned.unionByName(chosen)
+        pivot = chosen.join(sketched, "node").select(F.col("key").alias("_key"), F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("sketch").alias("sketch_p"))
+        fits = (F.col("_key") == F.col("key")) & (F.col("node") != F.col("pivot")) & _near(F.col("n"), F.col("n_p"), "sketch", "sketch_p", p, q)
+        found = members.join(materialize(pivot, "pivots"), fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        pairs = materialize(found.distinct(), "pairs")
+        of = {x: components.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"}
+        near = materialize(pairs.join(of["a"], "a").join(of["b"], "b").filter("of_a <> of_b").select("a", "b"), "near")
+        if not near.isEmpty():
+            links = _verified(near, texts, size, p, q).join(of["a"], "a").join(of["b"], "b")
+            links = materialize(links.select(F.col("of_a").alias("src"), F.col("of_b").alias("dst")).distinct(), "links")
+            ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            joined = connected_components(ends, links).filter("id <> component").select(F.col("id").alias("component"), F.col("component").alias("_new"))
+            joined = materialize(joined, "joined")
+            components = components.join(joined, "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+            components = materialize(components, "components")
         pivots *= PIVOT_GROWTH
 
 
@@ -282,7 +303,8 @@ def _classes(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
     source = hashed.filter("node IS NOT NULL").join(sized(others), ["node", "text_hash"], "left_anti").select("node", "text")
     if not rows.filter("doc_id IS NULL AND n_shingles > 0").isEmpty():
         source = source.unionByName(_named(texts.filter("doc_id IS NULL").select("doc_id", "text"), size))
-    groups = block_groups(node_keys(source, size, p, q), nodes.select("node", "spare0", "spare1"))
+    keys = node_keys(source, size, p, q), node_keys(source.filter(in_sample()), size, p, q)
+    groups = block_groups(keys[0], nodes.select("node", "spare0", "spare1"), keys[1])
     groups = materialize(groups, "groups")
     own = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("node_hash").alias("text_hash"))
     sketched = rows.select(F.col("id").alias("node"), "text_hash", F.col("n_shingles").alias("n"), "sketch")
