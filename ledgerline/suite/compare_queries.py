@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.operators import compare
+from ledgerline.operators import compare, digest
 from ledgerline.operators.compare import CompareSpec
 from ledgerline.plans.reports import CompareJob, compare_many
 from ledgerline.suite.registry import Tables, query
@@ -74,6 +74,32 @@ def mismatch_counts(t: Tables) -> DataFrame:
     return compare.mismatch_counts(orders_left(t), orders_right(t), SPEC)
 
 
+def orders_rarely_edited(t: Tables) -> DataFrame:
+    """The whole of ``orders`` with rare edits: changed and emptied cells, removed and new keys."""
+    mark = F.col("o_orderkey") % 401
+    edited = t.orders.filter(mark != 17)
+    edited = edited.withColumn("o_totalprice", F.when(mark == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    edited = edited.withColumn("o_orderpriority", F.when(mark == 6, F.lit(None)).otherwise(F.col("o_orderpriority")))
+    return edited.unionAll(t.orders.filter(mark == 99).withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000))
+
+
+query("digest_mismatch_counts", MISMATCH_SQL)(lambda t: digest.mismatch_counts(orders_left(t), orders_right(t), SPEC))
+
+query(
+    "digest_mismatch_counts_rare",
+    """SELECT c AS "column", CASE c WHEN 'o_totalprice' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 401 = 5 AND o_totalprice IS NOT NULL)
+            WHEN 'o_orderpriority' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 401 = 6 AND o_orderpriority IS NOT NULL) ELSE 0 END AS mismatches
+        FROM (SELECT column_name AS c FROM (DESCRIBE orders)) WHERE c <> 'o_orderkey'""",
+)(lambda t: digest.mismatch_counts(t.orders, orders_rarely_edited(t), SPEC))
+
+query(
+    "digest_differing_keys",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 401 = 17 THEN 'only_left' ELSE 'differs' END AS state FROM orders
+        WHERE o_orderkey % 401 = 17 OR (o_orderkey % 401 = 5 AND o_totalprice IS NOT NULL) OR (o_orderkey % 401 = 6 AND o_orderpriority IS NOT NULL)
+        UNION ALL SELECT CAST(o_orderkey + 1000000000 AS VARCHAR), 'only_right' FROM orders WHERE o_orderkey % 401 = 99""",
+)(lambda t: digest.differing_keys(t.orders, orders_rarely_edited(t), SPEC))
+
+
 def _exact(t: Tables, edited: bool) -> DataFrame:
     """Numbers beyond 2^53 in other types on each side; the right side has edits of one unit."""
     key = F.col("o_orderkey")
