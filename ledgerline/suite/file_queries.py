@@ -13,7 +13,7 @@ from ledgerline.plans import load
 from ledgerline.plans.load import SyncTable, clean_for_load, load_and_upsert
 from ledgerline.plans.reports import top_load_times
 from ledgerline.session import materialize, scratch_path
-from ledgerline.sources import files, sinks
+from ledgerline.sources import files, sinks, transactions
 from ledgerline.streaming import messages
 from ledgerline.suite.registry import Tables, query
 
@@ -253,6 +253,22 @@ query("write_partitions", "SELECT CAST(count(*) AS BIGINT) AS rows FROM lineitem
 )
 
 
+@query("transactional_batches", "SELECT * FROM lineitem")
+def transactional_batches(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "batches")
+    job = transactions.write_transactional(t.lineitem, transactions.FolderTarget(path))
+    return transactions.read_job(t.spark, path, job, t.lineitem.schema)
+
+
+@query("transactional_receipts", "SELECT count(*) AS rows, CAST(count(*) AS BIGINT) AS receipted FROM lineitem")
+def transactional_receipts(t: Tables) -> DataFrame:
+    """Rows that the published job holds, beside those its receipts name."""
+    path = scratch_path(t.spark, "batches")
+    job = transactions.write_transactional(t.lineitem.repartition(6), transactions.FolderTarget(path), 1000)
+    named = transactions.receipts(t.spark, path, job).agg(F.sum("rows").alias("receipted"))
+    return transactions.read_job(t.spark, path, job, t.lineitem.schema).agg(F.count(F.lit(1)).alias("rows")).join(named)
+
+
 @query(
     "run_dated",
     "SELECT '01312024' AS run_date, o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
