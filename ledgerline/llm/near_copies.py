@@ -169,10 +169,14 @@ def node_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("node", "text").mapInArrow(gather, "node long, tokens array<long>")
 
 
+def _apart(sketch_a: str, sketch_b: str) -> Column:
+    """Hamming distance of two bit sketches."""
+    return reduce(add, [F.bit_count(F.col(f"{sketch_a}.s{i}").bitwiseXOR(F.col(f"{sketch_b}.s{i}"))) for i in range(SKETCH_WORDS)])
+
+
 def _near(n_a: Column, n_b: Column, sketch_a: str, sketch_b: str, p: int, q: int) -> Column:
     """Whether set sizes and bit sketches allow a link."""
-    apart = reduce(add, [F.bit_count(F.col(f"{sketch_a}.s{i}").bitwiseXOR(F.col(f"{sketch_b}.s{i}"))) for i in range(SKETCH_WORDS)])
-    return (F.least(n_a, n_b) * q >= F.greatest(n_a, n_b) * p) & (apart * (q + p) <= (n_a + n_b) * (q - p))
+    return (F.least(n_a, n_b) * q >= F.greatest(n_a, n_b) * p) & (_apart(sketch_a, sketch_b) * (q + p) <= (n_a + n_b) * (q - p))
 
 
 def _verified(near: DataFrame, texts: DataFrame, size: int, p: int, q: int) -> DataFrame:
@@ -236,6 +240,17 @@ def block_groups(keys: DataFrame, spare: DataFrame, sampled: DataFrame | None =
     return rows.join(materialize(chosen.select("key"), "groups"), "key").select("key", "node", "weight")
 
 
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after the components of linked nodes are joined."""
+    of = {x: components.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"}
+    edges = links.join(of["a"], "a").join(of["b"], "b").select(F.col("of_a").alias("src"), F.col("of_b").alias("dst")).distinct()
+    edges = materialize(edges, "links")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    joined = connected_components(ends, edges).filter("id <> component").select(F.col("id").alias("component"), F.col("component").alias("_new"))
+    moved = components.join(materialize(joined, "joined"), "component", "left")
+    return materialize(moved.select("node", F.coalesce("_new", "component").alias("component")), "components")
+
+
 def linked_nodes(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
     """(node, component) of all nodes in groups; components are those of all links within groups.
 
@@ -261,18 +276,20 @@ def linked_nodes(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size:
         turned = chosen if turned is None else turned.unionByName(chosen)
         pivot = chosen.join(sketched, "node").select(F.col("key").alias("_key"), F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("sketch").alias("sketch_p"))
         fits = (F.col("_key") == F.col("key")) & (F.col("node") != F.col("pivot")) & _near(F.col("n"), F.col("n_p"), "sketch", "sketch_p", p, q)
-        found = members.join(materialize(pivot, "pivots"), fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = materialize(found.distinct(), "pairs")
-        of = {x: components.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"}
-        near = materialize(pairs.join(of["a"], "a").join(of["b"], "b").filter("of_a <> of_b").select("a", "b"), "near")
-        if not near.isEmpty():
-            links = _verified(near, texts, size, p, q).join(of["a"], "a").join(of["b"], "b")
-            links = materialize(links.select(F.col("of_a").alias("src"), F.col("of_b").alias("dst")).distinct(), "links")
-            ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-            joined = connected_components(ends, links).filter("id <> component").select(F.col("id").alias("component"), F.col("component").alias("_new"))
-            joined = materialize(joined, "joined")
-            components = components.join(joined, "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
-            components = materialize(components, "components")
+        found = members.join(materialize(pivot, "pivots"), fits)
+        found = found.select("pivot", "node", _apart("sketch", "sketch_p").alias("apart")).distinct()
+        found = materialize(found, "pairs")
+        for nearest_only in (True, False):
+            # one link between two components is enough: the pair with the nearest sketches is verified before the others
+            of = {x: components.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("pivot", "node")}
+            open_pairs = found.join(of["pivot"], "pivot").join(of["node"], "node").filter("of_pivot <> of_node")
+            if nearest_only:
+                nearest = F.min(F.struct("apart", "node")).alias("_nearest")
+                open_pairs = open_pairs.groupBy("pivot", "of_pivot", "of_node").agg(nearest).select("*", "_nearest.node")
+            near = materialize(open_pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "near")
+            if near.isEmpty():
+                break
+            components = _merged(components, _verified(near, texts, size, p, q))
         pivots *= PIVOT_GROWTH
 
 
