@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm.tokens import encoder
 
-#: texts whose new pre-tokens are encoded together
-TEXTS_AHEAD = 200
+#: texts that are worked on end to end
+TEXTS_TOGETHER = 200
 
 
 def section_ends(text: str, separator: re.Pattern) -> np.ndarray:
@@ -34,15 +34,19 @@ def section_ends(text: str, separator: re.Pattern) -> np.ndarray:
     return np.array([*ends, len(text)], np.int64)
 
 
-def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def attribute(
+    starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, lowest: np.ndarray | int = 0, highest: np.ndarray | int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens per section by ``start``, ``majority`` and ``share``; ``bounds`` are the section ends.
 
     Spans and sections are ordered, so the join is one binary search per token; only
-    tokens that cross a boundary are looked at one section at a time.
+    tokens that cross a boundary are looked at one section at a time. ``lowest`` and ``highest`` limit the
+    sections of each token, where several texts stand end to end.
     """
     last = len(bounds) - 1
-    first = np.minimum(np.searchsorted(bounds, starts, side="right"), last)
-    final = np.minimum(np.searchsorted(bounds, np.maximum(ends - 1, starts), side="right"), last)
+    highest = last if highest is None else highest
+    first = np.clip(np.searchsorted(bounds, starts, side="right"), lowest, highest)
+    final = np.clip(np.searchsorted(bounds, np.maximum(ends - 1, starts), side="right"), lowest, highest)
     by_start = np.bincount(first, minlength=last + 1)
     inside = first == final
     majority = np.bincount(first[inside], minlength=last + 1)
@@ -75,21 +79,24 @@ def section_token_counts(docs: DataFrame, tokenizer: str | None = None, separato
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ends_section = encoder(path, special_is_text=True), re.compile(separator)
         for batch in batches:
-            ids, columns = [], [[] for _ in _FIELDS[1:]]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts)):
-                if i % TEXTS_AHEAD == 0:
-                    own.prepare_spans(texts[i : i + TEXTS_AHEAD])
-                bounds = section_ends(text, ends_section)
-                starts, ends = own.token_spans(text)
-                n = len(bounds)
-                ids += [doc_id] * n
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for i in range(0, len(texts), TEXTS_TOGETHER):
+                block = texts[i : i + TEXTS_TOGETHER]
+                starts, ends, tokens = own.block_spans(block)
+                cuts = [section_ends(t, ends_section) for t in block]
+                n = np.array([len(c) for c in cuts])
+                texts_end = np.cumsum([len(t) for t in block])
+                offset = np.repeat(np.concatenate(([0], texts_end[:-1])), n)
+                final = np.cumsum(n) - 1
+                bounds = np.concatenate(cuts)
+                counts = attribute(starts, ends, bounds + offset, np.repeat(final - n + 1, tokens), np.repeat(final, tokens))
                 begin = np.concatenate(([0], bounds[:-1]))
-                found = (np.arange(n), begin, bounds, *attribute(starts, ends, bounds), np.full(n, len(starts)))
-                for column, values in zip(columns, found):
-                    column.append(values)
-            arrays = [pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(columns, list(schema)[1:])]
-            yield pa.record_batch([pa.array(ids, pa.int64()), *arrays], schema=schema)
+                begin[final - n + 1] = 0
+                section = np.arange(len(bounds)) - np.repeat(final - n + 1, n)
+                found = (section, begin, bounds, *counts, np.repeat(tokens, n))
+                owner = pa.array(ids[i : i + TEXTS_TOGETHER], pa.int64()).take(pa.array(np.repeat(np.arange(len(block)), n)))
+                arrays = [pa.array(x, f.type) for x, f in zip(found, list(schema)[1:])]
+                yield pa.record_batch([owner, *arrays], schema=schema)
 
     ddl = "doc_id long, section int, start long, end long, n_start long, n_majority long, n_share double, n_document long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, ddl)

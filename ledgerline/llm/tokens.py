@@ -77,31 +77,46 @@ class Encoder:
                 kept[w] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
             return b"".join(map(kept.__getitem__, words))
 
-    def prepare_spans(self, texts: list[str]) -> None:
-        """Encode the pre-tokens of several texts that are not kept yet in one go."""
-        words = set(chain.from_iterable(filter(None, map(self._split, texts))))
-        self._keep_spans(self._missing(words, self.spans))
-
     def _keep_spans(self, missing: list[str]) -> None:
-        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+        plain = [w for w in missing if w.isascii()]
+        for w in plain:  # a character is a byte and every token has its characters
+            sizes = [len(t.value) for t in self.model.tokenize(w.translate(_BYTE_CHARACTERS))]
+            ends = np.cumsum(sizes, dtype="<u4")
+            self.spans[w] = (ends - np.array(sizes, "<u4")).tobytes(), ends.tobytes()
+        others = [w for w in missing if not w.isascii()]
+        for w, e in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
             both = np.array(e.offsets, "<u4").reshape(-1, 2)
             self.spans[w] = both[:, 0].tobytes(), both[:, 1].tobytes()
 
-    def token_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """First and end character of every token, for tokenizers that keep all characters."""
-        words = self._split(text)
-        if words is None:
-            spans = self.tokenizer.encode(text, add_special_tokens=False).offsets
-            both = np.fromiter(chain.from_iterable(spans), np.int64).reshape(-1, 2)
-            return both[:, 0], both[:, 1]
+    def block_spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and end character of every token of the texts set end to end, and the tokens of each text.
+
+        For tokenizers that keep all characters. Every text is split once.
+        """
+        split = [self._split(t) for t in texts]
         kept = self.spans
-        self._keep_spans(self._missing(words, kept))
-        found = [kept[w] for w in words]
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        tokens = np.fromiter((len(s) // 4 for s, _ in found), np.int64, len(words))
-        shift = np.repeat(np.cumsum(lengths) - lengths, tokens)
-        starts, ends = (np.frombuffer(b"".join(f[i] for f in found), "<u4") for i in (0, 1))
-        return starts + shift, ends + shift
+        self._keep_spans(self._missing(set(chain.from_iterable(filter(None, split))), kept))
+        found, lengths, words = [], [], []
+        for text, own in zip(texts, split):
+            if own is None:
+                both = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, "<u4").reshape(-1, 2)
+                found.append((both[:, 0].tobytes(), both[:, 1].tobytes()))
+                lengths.append(len(text))
+                words.append(1)
+            else:
+                found += map(kept.__getitem__, own)
+                lengths += map(len, own)
+                words.append(len(own))
+        sizes = np.array(lengths, np.int64)
+        tokens = np.fromiter((len(s) // 4 for s, _ in found), np.int64, len(found))
+        shift = np.repeat(np.cumsum(sizes) - sizes, tokens)
+        starts, ends = (np.frombuffer(b"".join([f[i] for f in found]), "<u4") for i in (0, 1))
+        before = np.concatenate(([0], np.cumsum(tokens)))[np.cumsum([0, *words])]
+        return starts + shift, ends + shift, np.diff(before)
+
+    def token_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """First and end character of every token of one text."""
+        return self.block_spans([text])[:2]
 
 
 def encoder(path: str, special_is_text: bool = False) -> Encoder:
