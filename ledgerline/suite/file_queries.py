@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.operators import graph, logs
+from ledgerline.operators import graph, intervals, logs
 from ledgerline.operators.clean import TargetColumn
 from ledgerline.operators.maintain import upsert
 from ledgerline.operators.rows import global_rank, carry_forward
@@ -578,6 +578,24 @@ query(
     )
 )
 
+@query(
+    "hierarchy_intervals",
+    """WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS level, false AS below
+            UNION ALL SELECT c_custkey, level + 1, below OR t.id = 5 FROM t JOIN customer ON c_custkey // 4 = t.id AND c_custkey > 0),
+       h AS (SELECT c_custkey AS lower, c_custkey // 4 AS upper FROM customer WHERE c_custkey > 0
+            UNION SELECT h.lower, h.upper // 4 FROM h WHERE h.upper > 0),
+       n AS (SELECT upper, count(*) AS n FROM h GROUP BY upper)
+       SELECT id, CAST(0 AS BIGINT) AS root, level, below, coalesce(n, 0) AS members FROM t LEFT JOIN n ON upper = id""",
+)
+def hierarchy_intervals(t: Tables) -> DataFrame:
+    """Level, size of the part below, and whether it is below customer 5, of every customer."""
+    edges = t.customer.select(F.col("c_custkey").alias("user_id"), F.floor(F.col("c_custkey") / 4).alias("mgr_id"))
+    labels = intervals.interval_labels(edges)
+    one = labels.filter("id = 5").select("root", F.col("first").alias("_first"), F.col("last").alias("_last"))
+    below = F.coalesce((F.col("first") > F.col("_first")) & (F.col("last") < F.col("_last")), F.lit(False))
+    return labels.join(one, "root", "left").select("id", "root", "level", below.alias("below"), intervals.below_count().alias("members"))
+
+
 query(
     "components",
     "SELECT c_custkey AS id, c_custkey % 25 AS component FROM customer",
