@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.operators.joins import anti_by_key, distinct_keys
 from ledgerline.operators.rows import join_on, keep_first
@@ -82,6 +82,39 @@ def upsert(
     return merged.unionByName(inserts.unionByName(unkeyed), allowMissingColumns=True).select(*target.columns)
 
 
+def merge_full(
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    update_columns: Sequence[str] | None = None,
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """The same state as ``upsert`` from one full outer join that reads the target once.
+
+    For targets laid out by their keys (``sinks.write_bucketed``): the join then moves the source only. A target without
+    that layout is shuffled; there ``upsert`` is better, as a small source leaves the target where it is.
+    """
+    if not keys:
+        raise ValueError("an upsert needs key columns")
+    supplied = [c for c in source.columns if c in target.columns]
+    updated = [c for c in (update_columns if update_columns is not None else supplied) if c not in keys]
+    if not updated:
+        raise ValueError("no columns to update besides the keys")
+    latest = _latest(source.select(*supplied, *[o for o in order if o not in supplied]), keys, order)
+    changes = latest.select(*keys, F.struct(*[F.col(c) for c in supplied]).alias("_new"))
+    joined = target.withColumn("_held", F.lit(True)).join(changes, list(keys), "full_outer")
+
+    def value(c: str) -> Column:
+        if c in keys or c not in supplied:
+            return F.col(c)
+        changed = F.col("_new").isNotNull() if c in updated else F.col("_held").isNull()
+        return F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+
+    merged = joined.select(*[value(c) for c in target.columns])
+    unkeyed = _incomplete(source, keys).select(*supplied)
+    return merged.unionByName(unkeyed, allowMissingColumns=True).select(*target.columns)
+
+
 def upsert_non_key(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Upsert where an update changes every non-key column."""
     return upsert(target, source, keys, [c for c in target.columns if c not in keys and c in source.columns], order)

@@ -31,6 +31,32 @@ def choose_partitions(df: DataFrame, key: str, cores: int, exact: bool = False)
     )
 
 
+#: size of a sketch as a power of two, and three standard errors of its estimate
+SKETCH_SIZE, SKETCH_ERROR = 12, 0.05
+
+
+def distinct_sketches(df: DataFrame, key: str, part: str) -> DataFrame:
+    """(part, rows, sketch): rows and a sketch of the distinct keys of every part, to be stored beside the data.
+
+    A sketch has at most a few kB whatever the number of keys; keys are whole numbers, text or binary.
+    """
+    return df.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg(key, SKETCH_SIZE).alias("sketch"))
+
+
+def merge_sketches(kept: DataFrame, added: DataFrame) -> DataFrame:
+    """Sketches after an append: only the new rows' sketches are worked out."""
+    return kept.unionByName(added).groupBy("part").agg(F.sum("rows").alias("rows"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def choose_partitions_from(sketches: DataFrame, cores: int) -> DataFrame:
+    """``choose_partitions`` from kept sketches; the data is not read."""
+    sized = sketches.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("distinct_keys")
+    )
+    wanted = F.greatest(F.lit(2 * cores).cast("long"), F.col("distinct_keys"))
+    return sized.withColumn("partitions", F.greatest(F.lit(1).cast("long"), F.least(wanted, F.expr("rows div 1000"))))
+
+
 def choose_partitions_by_rows(df: DataFrame, test_slice: bool = False) -> DataFrame:
     """Rows and max(10, min(rows div 1,000,000, 100)); for a test slice min(rows, 10)."""
     formula = "least(rows, 10L)" if test_slice else "greatest(10L, least(rows div 1000000, 100L))"

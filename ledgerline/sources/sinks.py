@@ -46,6 +46,15 @@ def swap_table(df: DataFrame, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}__old")
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """Write a table whose rows are dealt into buckets by their keys and sorted, so that joins on the keys don't move it.
+
+    Rows of a bucket are brought together first, so every bucket is one file.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def recover_table(spark: SparkSession, name: str) -> str:
     """Finish or undo a swap that broke off: ``none``, ``restored`` or ``cleaned``.
 

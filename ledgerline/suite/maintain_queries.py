@@ -1,12 +1,15 @@
 """Joins, upserts, deletes and packing over the given tables."""
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.operators import clean, compare, joins, maintain, partition
 from ledgerline.operators.quality import count_by
 from ledgerline.plans.load import ingest_validate, sync_split
+from ledgerline.session import scratch_path
+from ledgerline.sources import sinks
 from ledgerline.sources.tables import literal_df, scan_sql, scan_table
 from ledgerline.suite.compare_queries import SIDES, orders_left, orders_right
 from ledgerline.suite.registry import Tables, query
@@ -197,6 +200,24 @@ query("upsert_non_key", _merged(_NEW_NAME, _NEW_SEGMENT))(
 query("upsert_touch", _merged("c.c_name", _NEW_SEGMENT))(
     lambda t: maintain.upsert_touch(t.customer, landing(t), ["c_custkey"], ["c_mktsegment"], ["seq"])
 )
+def bucketed_customers(t: Tables) -> DataFrame:
+    """``customer`` as a table in buckets of its key."""
+    name = f"customers_{uuid.uuid4().hex}"
+    sinks.write_bucketed(t.customer, name, ["c_custkey"], 8, scratch_path(t.spark, name))
+    return t.spark.table(name)
+
+
+query("merge_full", _merged(_NEW_NAME, "c.c_mktsegment"))(
+    lambda t: maintain.merge_full(bucketed_customers(t), landing(t), ["c_custkey"], ["c_name"], ["seq"])
+)
+query("merge_full_touch", _merged("c.c_name", _NEW_SEGMENT))(
+    lambda t: maintain.merge_full(bucketed_customers(t), landing(t), ["c_custkey"], ["c_mktsegment"], ["seq"])
+)
+query("merge_full_non_key", _merged(_NEW_NAME, _NEW_SEGMENT))(
+    lambda t: maintain.merge_full(
+        bucketed_customers(t), landing(t), ["c_custkey"], [c for c in landing(t).columns if c in t.customer.columns and c != "c_custkey"], ["seq"]
+    )
+)
 query(
     "replace",
     f"""WITH {LANDING} SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM last)
@@ -291,3 +312,43 @@ query(
 query("repartition_bins", "SELECT l_suppkey, count(*) AS rows FROM lineitem GROUP BY l_suppkey")(
     lambda t: count_by(partition.repartition_bins(t.lineitem.select("l_suppkey"), 8, "l_suppkey"), ["l_suppkey"], "rows")
 )
+
+query(
+    "bins_in_one_partition",
+    "SELECT l_suppkey % 40 AS bin, count(*) AS rows, CAST(1 AS BIGINT) AS partitions FROM lineitem GROUP BY ALL",
+)(lambda t: _placement(partition.repartition_bins(t.lineitem.select((F.col("l_suppkey") % 40).alias("bin")), 8), "bin"))
+
+query(
+    "keys_in_one_partition",
+    "SELECT l_suppkey, count(*) AS rows, CAST(1 AS BIGINT) AS partitions FROM lineitem GROUP BY ALL",
+)(lambda t: _placement(partition.repartition_by(t.lineitem.select("l_suppkey"), 8, ["l_suppkey"]), "l_suppkey"))
+
+
+def _placement(df: DataFrame, key: str) -> DataFrame:
+    """Rows of every key, and the number of partitions they lie in."""
+    placed = df.select(key, F.spark_partition_id().alias("_part"))
+    return placed.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_part").alias("partitions"))
+
+
+@query(
+    "choose_partitions_sketched",
+    """SELECT count(*) AS rows, true AS near, greatest(1, least(greatest(16, count(DISTINCT l_orderkey)), count(*) // 1000)) AS partitions,
+        CAST(3 AS BIGINT) AS parts FROM lineitem""",
+)
+def choose_partitions_sketched(t: Tables) -> DataFrame:
+    """Sizing from sketches kept per return flag, those of two thirds of the rows merged with the rest's."""
+    first = t.lineitem.filter("l_linenumber % 3 <> 0")
+    kept = partition.distinct_sketches(first, "l_orderkey", "l_returnflag")
+    kept = partition.merge_sketches(kept, partition.distinct_sketches(t.lineitem.filter("l_linenumber % 3 = 0"), "l_orderkey", "l_returnflag"))
+    chosen = partition.choose_partitions_from(kept, 8).withColumn("_all", F.lit(0))
+    exact = t.lineitem.agg(F.count_distinct("l_orderkey").alias("exact"), F.count_distinct("l_returnflag").alias("parts")).withColumn("_all", F.lit(0))
+    near = F.abs(F.col("distinct_keys") - F.col("exact")) <= F.lit(partition.SKETCH_ERROR) * F.col("exact") + 1
+    return chosen.join(exact, "_all").select("rows", near.alias("near"), "partitions", "parts")
+
+
+query(
+    "column_metadata",
+    """SELECT column_name AS "column", CASE WHEN column_type = 'BIGINT' THEN 'bigint' WHEN column_type = 'INTEGER' THEN 'int'
+            WHEN column_type = 'DOUBLE' THEN 'double' WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'TIMESTAMP' THEN 'timestamp_ntz'
+            ELSE lower(column_type) END AS type, "null" = 'YES' AS nullable, CAST(row_number() OVER () AS INTEGER) AS position FROM (DESCRIBE lineitem)""",
+)(lambda t: clean.column_metadata(t.lineitem))
