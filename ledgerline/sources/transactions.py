@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ledgerline.sources.storage import open_folder
+
 RECEIPT_SCHEMA = "partition int, attempt int, batches long, rows long"
 
 
@@ -115,17 +117,11 @@ def write_transactional(df: DataFrame, target: Target, batch_rows: int = 10_000)
     return job
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(path)
-
-
 class FolderAttempt:
     """Parquet files, one per batch, in a folder of the attempt; a file gets its name when it is complete."""
 
     def __init__(self, folder: str) -> None:
-        self.files, self.folder = _file_system(folder)
+        self.files, self.folder = open_folder(folder)
         self.files.create_dir(self.folder, recursive=True)
         self.batches = 0
 
@@ -157,7 +153,7 @@ class FolderTarget:
         return FolderAttempt(f"{self.path}/_open/{job}/{partition:06d}-{attempt}")
 
     def publish(self, job: str, receipts: list[Receipt]) -> None:
-        files, root = _file_system(self.path)
+        files, root = open_folder(self.path)
         opened = f"{root}/_open/{job}"
         files.create_dir(opened, recursive=True)
         counting = {f"{r.partition:06d}-{r.attempt}" for r in receipts}
@@ -170,7 +166,7 @@ class FolderTarget:
         files.move(opened, f"{root}/{job}")
 
     def discard(self, job: str, receipts: list[Receipt]) -> None:
-        files, root = _file_system(self.path)
+        files, root = open_folder(self.path)
         if files.get_file_info(f"{root}/_open/{job}").type == pafs.FileType.Directory:
             files.delete_dir(f"{root}/_open/{job}")
 
@@ -182,7 +178,7 @@ def read_job(spark: SparkSession, path: str, job: str, schema) -> DataFrame:
 
 def receipts(spark: SparkSession, path: str, job: str) -> DataFrame:
     """(partition, attempt, batches, rows) of a published job."""
-    files, root = _file_system(path.rstrip("/"))
+    files, root = open_folder(path.rstrip("/"))
     with files.open_input_stream(f"{root}/{job}/_receipts") as lines:
         rows = [tuple(json.loads(x).values()) for x in lines.read().splitlines()]  # one per partition
     return spark.createDataFrame(rows, RECEIPT_SCHEMA)

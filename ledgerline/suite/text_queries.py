@@ -2,12 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.functions import callbacks, text
+from ledgerline.functions import callbacks, ledger, text
 from ledgerline.functions.values import flag_eq
 from ledgerline.operators import clean, nested
 from ledgerline.operators.clean import CleanRules, TargetColumn
 from ledgerline.plans.load import clean_rows
 from ledgerline.plans.reports import run_query_list
+from ledgerline.session import scratch_path
 from ledgerline.sources.sinks import to_json_rows, union_by_name
 from ledgerline.suite.quality_queries import GAPS, part_with_gaps
 from ledgerline.suite.registry import Tables, query
@@ -404,3 +405,11 @@ query("apply_partitions", "SELECT l_orderkey, l_quantity * 2 AS doubled FROM lin
         "l_orderkey long, doubled double",
     )
 )
+
+
+@query("enriched_once", "SELECT o_orderkey, 'customer ' || o_custkey AS label FROM orders")
+def enriched_once(t: Tables) -> DataFrame:
+    """Orders with a response per customer, asked once each."""
+    asked = t.orders.select("o_orderkey", "o_custkey")
+    found = ledger.enrich_once(asked, ["o_custkey"], lambda key: f"customer {key['o_custkey']}", "label", scratch_path(t.spark, "ledger"))
+    return found.select("o_orderkey", "label")
