@@ -75,10 +75,10 @@ def _digits(kind: T.DataType) -> tuple[int, int] | None:
 
 
 def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
-    """Type in which two columns are compared without loss; text when they have nothing closer.
+    """Type in which two columns are compared, without loss but for one case; text when they have nothing closer.
 
-    Exact numbers meet in a decimal wide enough for both, or as text beyond 38 digits;
-    double is for pairs with a float or double. A date meets a timestamp as its midnight.
+    Exact numbers meet in a decimal wide enough for both, or as text beyond 38 digits.
+    Pairs with a float or double meet as doubles, which rounds whole numbers beyond 2^53. A date meets a timestamp as its midnight.
     """
     if left == right:
         return left

@@ -204,7 +204,11 @@ def cell_diff(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame
 
 
 def mismatch_counts(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
-    """Number of differing cells per compared column, zeros included."""
+    """Number of differing cells per compared column, zeros included.
+
+    Exact numbers are compared exactly with each other. Against a float or double they are compared as doubles, so
+    whole numbers beyond 2^53 that fall on the same double count as equal.
+    """
     columns = compared_columns(left, right, spec)
     sums = [
         F.count_if(differs(F.col(f"l.{c}"), F.col(f"r.{c}"))).alias(f"c{i}") for i, c in enumerate(columns)
@@ -307,16 +311,10 @@ def _counter_rows(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[F.count_if(matched & differs(F.col(f"l.{c}"), F.col(f"r.{c}"))) for c in columns],
     ]
     totals = pairs.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(f"v{i}") for i, v in enumerate(values)])
-    return totals.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(s).alias("section"), F.lit(x).alias("label"), F.col(f"v{i}").alias("n"))
-                    for i, (s, x) in enumerate(labels)
-                ]
-            )
-        )
-    )
+    rows = [F.struct(F.lit(s).alias("section"), F.lit(x).alias("label"), F.col(f"v{i}").alias("n")) for i, (s, x) in enumerate(labels)]
+    # without a common key all mismatch counts are 0, which says nothing
+    note = F.struct(F.lit("note").alias("section"), F.lit("no common keys").alias("label"), F.col("v2").alias("n"))
+    return totals.select(F.inline(F.array_compact(F.array(*rows, F.when(F.col("v2") == 0, note)))))
 
 
 def _entry_rows(pairs: DataFrame, spec: CompareSpec, columns: Sequence[str]) -> DataFrame:

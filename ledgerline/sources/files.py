@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ledgerline.session import materialize
+from ledgerline.sources.sinks import PLAIN_CHARACTERS, checked_separator
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -288,8 +289,8 @@ def join_tickets(tickets: DataFrame, tokens: DataFrame) -> DataFrame:
     return ours.join(theirs, "path").select("token", "ticket", "path")
 
 
-#: stands for an escape while a line is split; its own occurrences are coded too
-_MARK = "\u0001"
+#: one of these, not in the separator, stands for escapes while a line is split; its own occurrences are coded too
+_MARKS = [chr(c) for c in range(1, 9)]
 #: stands for quoted empty text while a CSV file is read
 _EMPTY = "\u0001empty\u0001"
 
@@ -310,12 +311,15 @@ def read_delimited(
     Escapes are those of ``export_delimited``: a backslash before the separator or itself, ``\\n`` and ``\\r``.
     """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    codes = ((_MARK, "a"), ("\\\\", "b"), ("\\" + sep, "c"), ("\\n", "d"), ("\\r", "e"))
-    meaning = {"c": sep, "d": "\n", "e": "\r", "b": "\\", "a": _MARK}
+    sep = checked_separator(sep)
+    mark = next(m for m in _MARKS if m not in sep)
+    codes = ((mark, "a"), ("\\\\", "b"), ("\\" + sep, "c"), ("\\n", "d"), ("\\r", "e"))
+    meaning = {"c": sep, "d": "\n", "e": "\r", "b": "\\", "a": mark}
     coded = F.col("value")
     for raw, code in codes:
-        coded = F.replace(coded, F.lit(raw), F.lit(_MARK + code))
-    parts = F.split(coded, re.escape(sep), -1)
+        coded = F.replace(coded, F.lit(raw), F.lit(mark + code))
+    escaped = F.contains("value", F.lit("\\")) | F.contains("value", F.lit(mark))
+    parts = F.split(F.when(escaped, coded).otherwise(F.col("value")), re.escape(sep), -1)
     lines = spark.read.text(path).select(
         uri_path(F.col("_metadata.file_path")).alias("_file"), F.col("value").alias("_line"), parts.alias("_parts")
     )
@@ -324,8 +328,11 @@ def read_delimited(
         part = F.get("_parts", F.lit(i))
         if null_token is not None:
             part = F.nullif(part, F.lit(null_token))
-        for code, raw in meaning.items():
-            part = F.replace(part, F.lit(_MARK + code), F.lit(raw))
+        if isinstance(field.dataType, T.StringType) or set(sep) & PLAIN_CHARACTERS:  # other values hold no escapes
+            decoded = part
+            for code, raw in meaning.items():
+                decoded = F.replace(decoded, F.lit(mark + code), F.lit(raw))
+            part = F.when(F.contains(part, F.lit(mark)), decoded).otherwise(part)
         return F.nullif(part, F.lit("")) if nullif_empty or not isinstance(field.dataType, T.StringType) else part
 
     texts = lines.select("_file", "_line", F.size("_parts").alias("_n"), *[text(i, f).alias(f"_t{i}") for i, f in enumerate(fields)])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Protocol
 
 import pyarrow as pa
@@ -125,17 +127,37 @@ def export_single_csv(df: DataFrame, file: str) -> None:
 LINE_ESCAPES = (("\n", "\\n"), ("\r", "\\r"))
 
 
+#: characters that numbers, dates, times and truth values can consist of as text
+PLAIN_CHARACTERS = frozenset("0123456789+-.:eE TZaflINnrsuity")
+
+
+def checked_separator(sep: str) -> str:
+    """A separator that escaping can tell from its own marks: no backslash, line break, ``n`` or ``r`` in it, and not empty."""
+    if not sep or set(sep) & set("\\\n\rnr"):
+        raise ValueError(f"separator {sep!r} is empty or holds a backslash, a line break, 'n' or 'r'")
+    return sep
+
+
 def delimited_line(df: DataFrame, sep: str = "|", null_token: str = "") -> Column:
-    """All columns of a row as one line; backslash, separator and line breaks are escaped by a backslash."""
+    """All columns of a row as one line; backslash, separator and line breaks are escaped by a backslash.
 
-    def field(name: str) -> Column:
-        text = F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\"))
+    Only values that hold one of these are rewritten; numbers and times can't unless the separator is of their characters.
+    """
+    sep = checked_separator(sep)
+    plain = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+    def field(f: T.StructField) -> Column:
+        raw = F.col(f.name).cast("string")
+        if isinstance(f.dataType, plain) and not set(sep) & PLAIN_CHARACTERS:
+            return F.coalesce(raw, F.lit(null_token))
+        text = F.replace(raw, F.lit("\\"), F.lit("\\\\"))
         text = F.replace(text, F.lit(sep), F.lit("\\" + sep))
-        for raw, escaped in LINE_ESCAPES:
-            text = F.replace(text, F.lit(raw), F.lit(escaped))
-        return F.coalesce(text, F.lit(null_token))
+        for char, escaped in LINE_ESCAPES:
+            text = F.replace(text, F.lit(char), F.lit(escaped))
+        held = reduce(or_, [F.contains(raw, F.lit(x)) for x in ("\\", sep, *[c for c, _ in LINE_ESCAPES])])
+        return F.coalesce(F.when(held, text).otherwise(raw), F.lit(null_token))
 
-    return F.concat_ws(sep, *[field(c) for c in df.columns])
+    return F.concat_ws(sep, *[field(f) for f in df.schema])
 
 
 def export_delimited(df: DataFrame, path: str, sep: str = "|", null_token: str = "", mode: str = "errorifexists") -> None:

@@ -194,3 +194,10 @@ def test_wide_decimals_and_midnights_are_equal(spark):
     for a, b in pairs:
         ours, theirs = spark.sql(f"SELECT 1 AS k, {a} AS v"), spark.sql(f"SELECT 1 AS k, {b} AS v")
         assert compare.mismatch_counts(ours, theirs, CompareSpec(keys=["k"])).first().mismatches == 0, (a, b)
+
+
+def test_report_says_when_no_keys_are_common(sides, rows):
+    left, right = sides
+    apart = right.withColumn("id", right.id.cast("int") + 100)
+    assert ("note", "no common keys", 0) in rows(compare.report_rows(left, apart, SPEC), "section", "label", "n")
+    assert "note" not in {r[0] for r in rows(compare.report_rows(left, right, SPEC), "section")}

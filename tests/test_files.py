@@ -1,3 +1,4 @@
+import datetime
 import os
 import time
 
@@ -275,3 +276,21 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     assert [stored(), stored()] == [1, 1]
     put(tmp_path / "in" / "2.json", f'{{"data":"%%%","publishTime":"{TIME}"}}\n')
     assert stored() == 2
+
+
+@pytest.mark.parametrize("sep", ["", "\\", "n", "\n", "|r", "a\\b"])
+def test_separators_that_escapes_need_are_refused(spark, tmp_path, sep):
+    df = spark.createDataFrame([("a", 1)], "s string, n int")
+    with pytest.raises(ValueError, match="separator"):
+        sinks.export_delimited(df, str(tmp_path / "out"), sep)
+    with pytest.raises(ValueError, match="separator"):
+        files.read_delimited(spark, str(tmp_path), "s string, n int", sep)
+
+
+@pytest.mark.parametrize("sep", ["|", "-", ".", "::", "1", "\t", "\u0001"])
+def test_any_other_separator_round_trips(spark, rows, tmp_path, sep):
+    texts = ["", "a|b", "\\", "\\n", "x\ny\r", "1-1.1::1\t", "\u0001b\u0001", "\\|\\\\"]
+    df = spark.createDataFrame([(t, -i * 1.5, datetime.date(2024, 1, 11)) for i, t in enumerate(texts)] + [(None, None, None)], "s string, v double, d date")
+    sinks.export_delimited(df, str(tmp_path / "out"), sep, "\\N")
+    back = files.import_delimited(spark, str(tmp_path / "out"), df.schema, sep, nullif_empty=False, null_token="\\N")
+    assert rows(back) == rows(df)
