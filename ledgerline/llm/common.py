@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable, Sequence
 from types import ModuleType
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.operators.rows import join_on
 from ledgerline.session import materialize
@@ -77,3 +79,13 @@ def process_cache(name: str, build: Callable[[], object]) -> object:
     if not hasattr(home, name):
         setattr(home, name, build())
     return getattr(home, name)
+
+
+def sent_by_value(spark: SparkSession, value: object) -> Callable[[], tuple[str, object]]:
+    """Broadcast an object with its class, for workers that can't import this package; the result gives its name and itself.
+
+    The name is a hash of the content. Every Python process builds the object once.
+    """
+    data = cloudpickle.dumps(value)
+    shared, name = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
+    return lambda: (name, process_cache(f"value:{name}", lambda: cloudpickle.loads(shared.value)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.mixing import mix_sources
 from ledgerline.llm.registry import query
 from ledgerline.llm.secrets import scan_secrets, secret_digest
-from ledgerline.llm.url_filters import Rule, filter_urls, url_path
+from ledgerline.llm.url_filters import LONG_SUFFIXES, Rule, filter_urls, url_path
 
 # The rules of the query, host and path.
 URL_RULES = (
@@ -27,6 +27,8 @@ _LEVEL = """
     SELECT u.*, k + w * m AS a, n - k + w * (1 - m) AS b, (k + w * m) / (n + w) AS mean
     FROM {name} u, (SELECT 1 / least(greatest(rho, 0.001), 0.5) - 1 AS w FROM {name}_fit))"""
 
+_ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
+
 URL_SQL = f"""
 WITH parsed AS (
     SELECT page_id, rest,
@@ -38,11 +40,11 @@ WITH parsed AS (
     SELECT p.host, m.good FROM parsed p JOIN marks m
     ON m.doc_id = try_cast(regexp_extract(p.path, '^/[a-z][a-z]/([0-9]+)', 1) AS BIGINT)),
   counts AS (
-    SELECT *, CASE WHEN instr(domain, '.') > 0 THEN substr(domain, instr(domain, '.') + 1) ELSE domain END AS suffix
-    FROM (SELECT host, n, k,
-            array_to_string(CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ('co.uk', 'com.au', 'co.jp')
-              THEN list_slice(string_split(host, '.'), -3, -1) ELSE list_slice(string_split(host, '.'), -2, -1) END, '.') AS domain
-          FROM (SELECT host, sum(n) AS n, sum(k) AS k FROM (
+    SELECT *, CASE WHEN instr(domain, '.') > 0 AND NOT regexp_matches(domain, '{_ADDRESS}') THEN substr(domain, instr(domain, '.') + 1) ELSE domain END AS suffix
+    FROM (SELECT host, n, k, CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN bare ELSE
+            array_to_string(CASE WHEN array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') IN ({", ".join(f"'{x}'" for x in LONG_SUFFIXES)})
+              THEN list_slice(string_split(bare, '.'), -3, -1) ELSE list_slice(string_split(bare, '.'), -2, -1) END, '.') END AS domain
+          FROM (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, sum(n) AS n, sum(k) AS k FROM (
                   SELECT host, 1 AS n, good AS k FROM outcomes UNION ALL SELECT host, 0, 0 FROM parsed) GROUP BY host))),
   domain_counts AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM counts GROUP BY ALL),
   suffix_counts AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domain_counts GROUP BY ALL),

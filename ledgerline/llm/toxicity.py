@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.llm.common import process_cache
+from ledgerline.llm.common import process_cache, sent_by_value
 from ledgerline.llm.samples import labelled_sample
 
 PER_CLASS = 4000
@@ -222,12 +222,12 @@ def fit_toxicity(
 
 def toxicity_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The documents with their score; the model, bounded by ``MOST_FEATURES``, is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model_of = sent_by_value(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
-        kept = process_cache(known.name, dict)
+        name, known = model_of()
+        kept = process_cache(f"terms:{name}", dict)  # named by the model's content: another model has terms of its own
         for batch in texts:
             yield pd.Series([known.score(t or "", kept) for t in batch], dtype="float64")
 

@@ -74,7 +74,16 @@ def is_address(host: Column) -> Column:
     return host.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
 
 
-def registered_domain(host: Column, long_suffixes: Sequence[str] = ("co.uk", "com.au", "co.jp")) -> Column:
+# Suffixes of two labels below which domains are registered. A longer list may be given instead.
+LONG_SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk",
+    "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in",
+    "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za",
+)
+
+
+def registered_domain(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
     """The suffix and one label before it; a host of one label is its own domain, as is an address. Ports don't count."""
     host = F.regexp_replace(host, ":[0-9]*$", "")
     labels = F.split(host, r"\.")
@@ -119,7 +128,9 @@ def _shrunk(units: DataFrame, prior: Prior) -> DataFrame:
     return units.withColumn("a", a).withColumn("b", b).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def host_reputation(hosts: DataFrame, outcomes: DataFrame, prior: Prior = Prior()) -> DataFrame:
+def host_reputation(
+    hosts: DataFrame, outcomes: DataFrame, prior: Prior = Prior(), long_suffixes: Sequence[str] = LONG_SUFFIXES
+) -> DataFrame:
     """Posterior ``a``, ``b`` and ``mean`` of every distinct ``host`` of ``hosts``.
 
     ``outcomes`` has ``host`` and ``good`` (0 or 1). Counts combine map-side, so a
@@ -131,7 +142,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, prior: Prior = Prior(
         .unionByName(hosts.select("host", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n")))
         .groupBy("host")
         .agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        .withColumn("domain", registered_domain(F.col("host")))
+        .withColumn("domain", registered_domain(F.col("host"), long_suffixes))
         .withColumn("suffix", suffix_of(F.col("domain")))
     )
     counts = materialize(counts, "hosts")
@@ -155,6 +166,7 @@ def filter_urls(
     least_good: float = 0.5,
     z: float = 1.645,
     prior: Prior = Prior(),
+    long_suffixes: Sequence[str] = LONG_SUFFIXES,
 ) -> DataFrame:
     """Every page with ``host``, ``path``, ``rule``, ``verdict`` and its host's posterior mean and bound.
 
@@ -166,7 +178,7 @@ def filter_urls(
         F.col(key).alias("_key"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")
     )
     labelled = outcomes.select(url_host(F.col("url")).alias("host"), "good")
-    posterior = host_reputation(parsed.select("host").distinct(), labelled, prior)
+    posterior = host_reputation(parsed.select("host").distinct(), labelled, prior, long_suffixes)
     a, b = F.col("a"), F.col("b")
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     judged = posterior.select("host", F.col("mean").alias("reputation"), (F.col("mean") - z * deviation).alias("bound"))

@@ -148,3 +148,14 @@ def test_quality_sample_takes_all_of_three_thousand_per_class(spark, documents):
     docs = documents([(i, f"t{i} %") for i in range(4000)])
     model = quality.fit_quality(docs, labelled(spark, [(i, i % 2, 0) for i in range(4000)]), ALL)
     assert len(model.labels) == 4000
+
+
+def test_two_models_of_one_session_keep_their_own_weights(spark, documents):
+    texts = [f"you are {w} {i}" for i in range(40) for w in ("kind", "vile women", "vile men", "calm women")]
+    docs = documents(list(enumerate(texts)))
+    labels = labelled(spark, [(i, 1, int("vile" in t)) for i, t in enumerate(texts)])
+    models = [toxicity.fit_toxicity(docs, labels, ALL, fairness=f) for f in (0.0, 5.0)]
+    asked = documents([(1, "you are women 3"), (2, "vile men"), (3, "calm")])
+    for model in (*models, models[0]):
+        found = {r.text: r.score for r in toxicity.toxicity_scores(asked, model).collect()}
+        assert found == {t: pytest.approx(model.score(t, {})) for t in found}

@@ -91,3 +91,27 @@ def test_ports_and_addresses(spark):
         "[::1]:80": ("[::1]", "[::1]"),
         "[fe80::1.2]": ("[fe80::1.2]", "[fe80::1.2]"),
     }
+
+
+def test_sql_says_the_same_about_ports_addresses_and_long_suffixes(spark, tmp_path):
+    import duckdb
+
+    from ledgerline.llm.native_queries import URL_SQL
+    from ledgerline.llm.queries import QUERIES
+
+    hosts = ["x.com.br", "y.com.br", "x.com.br:8080", "1.2.3.4", "1.2.3.5:80", "[::1]", "a.b.co.uk", "c.org.uk", "shop.example.org", "example.org:443", "www.example.com", ""]
+    pages = [(i, f"http://{hosts[i % len(hosts)]}/en/{i}/p") for i in range(240)] + [(500, None), (501, "none")]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    marks = [(i, int(i % len(hosts) in (0, 3, 7) or i % 5 == 0), 0) for i in range(0, 240) if i % len(hosts) not in (1, 4)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    found = sorted((tuple(r) for r in QUERIES["op8_url_filters"](spark, str(tmp_path)).collect()), key=repr)
+    base = duckdb.connect()
+    for name in ("pages", "labels"):
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert found == sorted(base.execute(URL_SQL).fetchall(), key=repr)
+    reputation = host_reputation(
+        spark.createDataFrame([("x.com.br",), ("y.com.br",), ("z.com.br",)], "host string"), spark.createDataFrame([("x.com.br", 0)] * 30, "host string, good int")
+    )
+    domains = {r.host: r.domain for r in reputation.collect()}
+    assert domains == {"x.com.br": "x.com.br", "y.com.br": "y.com.br", "z.com.br": "z.com.br"}
+    assert spark.range(1).select(registered_domain(F.lit("a.b.c.d"), ["b.c.d"])).first()[0] == "c.d"
