@@ -175,6 +175,30 @@ def profile_try_cast(t: Tables) -> DataFrame:
     return profile.profile_try_cast(orders)
 
 
+def _gated_sql() -> str:
+    """Casts of all columns of ``orders`` by what their texts look like."""
+    none, every = "0", "count(v)"
+    year, short_year = "count(v) FILTER (length(v) BETWEEN 4 AND 7)", "count(v) FILTER (length(v) BETWEEN 4 AND 6)"
+    gates = {  # bigint, float, double, decimal, date, timestamp
+        "o_orderkey": (every, every, every, every, year, short_year),
+        "o_custkey": (every, every, every, every, year, short_year),
+        "o_orderstatus": (none,) * 6,
+        "o_orderpriority": (none,) * 6,
+        "o_totalprice": (none, every, every, every, none, none),
+        "o_orderdate": (none, none, none, none, every, every),
+    }
+    kinds = ("bigint", "float", "double", "decimal", "date", "datetime")
+    parts = [
+        f"""SELECT '{c}' AS "column", {", ".join(f"CAST({g} AS BIGINT) AS {k}_count" for k, g in zip(kinds, own))}, count(v) AS char_count, count(v) AS text_count,
+            count(v) AS enum_count, count(*) AS total_count FROM (SELECT CAST({c} AS VARCHAR) AS v FROM orders)"""
+        for c, own in gates.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+query("profile_casts_by_mask", _gated_sql())(lambda t: profile.profile_casts_by_mask(t.orders))
+query("profile_try_cast_all", _gated_sql())(lambda t: profile.profile_try_cast(t.orders))
+
 query(
     "order_multi",
     """SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY n DESC, o_orderpriority""",

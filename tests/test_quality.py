@@ -100,3 +100,19 @@ def test_missing_bin_is_zero(spark, rows):
     df = spark.createDataFrame([("a",), ("b",)], "k string")
     bins = spark.createDataFrame([("a", 3)], "k string, bin int")
     assert rows(partition.assign_bins(df, bins, "k")) == [("a", 3), ("b", 0)]
+
+
+def test_masks_settle_casts_as_trying_every_value(spark, rows):
+    import random
+
+    from ledgerline.operators import profile
+
+    r = random.Random(4)
+    known = ["1", "-12", "+3", " 7 ", "1.5", ".5", "5.", "1e5", "1E-3", "2d", "3f", "nan", "NaN", "inf", "-Infinity", "0x1p3", "", "abc", "a b", None, "9" * 19, "9" * 30]
+    known += ["1.2.3", "2024-01-02", "2024-13-01", "2024-1-2", "2024", "20240", "1234567", "12345678", "2024-01-02 10:00:00", "2024-01-02T10:00:00Z", "T10:11", "10:11:12"]
+    known += ["2024-02-30", "+2024-01-01", "2024-01-02 10:00:00.123456", "x" * 60, "1" * 60, "0." + "1" * 50, "\t5\n", "--1", "1-URGENT", "é1", "٣", "true", "1_000", "1,5"]
+    for _ in range(400):
+        known.append("".join(r.choice("0192.+-eE aTnif:dZ") for _ in range(r.randrange(1, 12))))
+    df = spark.createDataFrame([(v, str(i)) for i, v in enumerate(known)], "mixed string, number string")
+    assert rows(profile.profile_casts_by_mask(df)) == rows(profile.profile_try_cast(df))
+    assert rows(profile.profile_casts_by_mask(df.filter("false"))) == []
