@@ -493,6 +493,24 @@ def list_files(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "listed_files",
+    """SELECT lang, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes, lang <> 'de' AS recent FROM documents GROUP BY lang""",
+)
+def listed_files(t: Tables) -> DataFrame:
+    """Bytes of the files found per language, and whether they are recent; those of one language were last changed ten days ago."""
+    root = scratch_path(t.spark, "walk")
+    t.documents.select("lang", F.col("doc_id").cast("string").alias("value")).write.partitionBy("lang").text(f"{root}/20240115/data")
+    old = t.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/20240115/data/lang=de")
+    system = old.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(old):  # one file per writing task
+        system.setTimes(status.getPath(), status.getModificationTime() - 10 * 86_400_000, -1)
+    listed = files.list_files(t.spark, root, "2024011", "part-*").select("path", "length")
+    recent = files.recent_files(t.spark, root).select("path", F.lit(True).alias("recent"))
+    lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
+    return listed.join(recent, "path", "left").groupBy(lang).agg(F.sum("length").alias("bytes"), F.coalesce(F.bool_or("recent"), F.lit(False)).alias("recent"))
+
+
 # --- logs ------------------------------------------------------------------
 
 
