@@ -8,7 +8,7 @@ entries, and the entries of those cells are ranked exactly, in double precision.
 Centroids are fitted on a bounded sample; every vector is indexed. Defined results:
 vectors that are NULL, zero, of another length than most (ties: the shorter), or hold NULL or
 non-finite components take no part, nor do rows without id. An id that occurs with several
-vectors has the smallest of them. Equal scores rank by smaller id. A query with
+vectors is found and asks with each of them; its best score counts. Equal scores rank by smaller id. A query with
 fewer candidates than asked for gets all of them. Of one vector shared by many ids,
 only the smallest ids that a result can hold are entries: others can't be in any result.
 Extra columns take no part.
@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerline.llm.common import sent_by_value
 from ledgerline.session import materialize
 
 #: vectors the centroids are fitted on
@@ -44,12 +45,12 @@ def usable(vector: Column) -> Column:
 
 
 def usable_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): one usable vector per id, all of the most common length."""
+    """(id, v): the distinct usable vectors of every id, all of the most common length."""
     fit = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     fit = fit.filter(F.col("id").isNotNull()).filter(usable(F.col("v")))
     sizes = fit.groupBy(F.size("v").alias("n")).count()
     common = sizes.agg(F.max_by("n", F.struct("count", -F.col("n")))).first()[0]
-    return fit.filter(F.size("v") == F.lit(common)).groupBy("id").agg(F.min("v").alias("v"))
+    return fit.filter(F.size("v") == F.lit(common)).distinct()
 
 
 def _centroids(points: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
@@ -144,13 +145,14 @@ def nearest_neighbours(
     n = vectors.count()
     if n == 0:
         return spark.createDataFrame([], _RESULT)
+    several = vectors.select("id").distinct().count() < n  # some id has several vectors
     index = fit_index(vectors, n, sample)
-    shared = spark.sparkContext.broadcast(index)
+    shared = sent_by_value(spark, index)
 
     @F.pandas_udf("int")
     def cell_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            yield pd.Series(shared.value.cells(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
+            yield pd.Series(shared()[1].cells(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
 
     placed = materialize(entries.select("id", "v", cell_of("v").alias("cell")), "entries")
     cells = len(index.first) * len(index.second)
@@ -164,7 +166,7 @@ def nearest_neighbours(
     blocks = F.array(*[F.lit(max(1, -(-c // BLOCK_ENTRIES))) for c in in_slab])
     queries = vectors.filter(is_query)
     turns = -(-queries.count() // BLOCK_QUERIES)
-    full = spark.sparkContext.broadcast(index)
+    full = sent_by_value(spark, index)
     enough = max(LEAST_VISITED, math.ceil(visit * total)) + k
     second = len(index.second)
 
@@ -174,7 +176,7 @@ def nearest_neighbours(
             rows = []
             for query in v:
                 by_slab: dict[int, list[int]] = {}
-                for cell in full.value.traverse(query, enough):
+                for cell in full()[1].traverse(query, enough):
                     by_slab.setdefault(cell // second % slabs, []).append(cell)
                 rows.append([{"slab": s, "cells": c} for s, c in by_slab.items()])
             yield pd.Series(rows)
@@ -206,10 +208,16 @@ def nearest_neighbours(
             open_cell[visited] = True
             rows = np.flatnonzero(open_cell[cell] & (ids != query))
             score = matrix[rows] @ v
-            if len(score) > k:  # whatever could tie with the last place stays for the exact scores
-                rows = rows[score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9 * (1 + np.abs(score).max())]
+            per_id = score
+            if several and len(rows):  # rows are in the order of ids
+                per_id = np.maximum.reduceat(score, np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[0]] - 1)))
+            if len(per_id) > k:  # whatever could tie with the last place stays for the exact scores
+                rows = rows[score >= np.partition(per_id, len(per_id) - k)[len(per_id) - k] - 1e-9 * (1 + np.abs(score).max())]
             exact = (matrix[rows] * v).sum(axis=1)
-            best = np.argsort(-exact, kind="stable")[:k]
+            best = np.argsort(-exact, kind="stable")
+            if several:
+                best = best[np.sort(np.unique(ids[rows[best]], return_index=True)[1])]
+            best = best[:k]
             asked_by.append(np.full(len(best), query))
             near_ids.append(ids[rows[best]])
             scores.append(exact[best])
@@ -220,5 +228,7 @@ def nearest_neighbours(
         .cogroup(asked.groupBy("slab", "block", "turn"))
         .applyInPandas(rank, "query_id long, vec_id long, score double")
     )
+    if several:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

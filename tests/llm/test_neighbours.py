@@ -73,3 +73,18 @@ def test_pairs_come_by_falling_sum(k):
     taken = sums.ravel()[cells]
     assert (np.diff(taken) <= 1e-12).all()
     assert index.traverse(q, 2) == cells[:2]
+
+
+def test_an_id_is_found_and_asks_with_each_of_its_vectors(spark):
+    two = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.5], 0), (2, [0.5, 0.0], 0)], SCHEMA)
+    found = nearest_neighbours(two, F.col("id") % 20 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 1.0), (2, 0.5)]
+    r = np.random.default_rng(7)
+    rows = [(int(i) % 90, r.normal(size=4).round(1).tolist()) for i in range(300)] + [(5, [0.1, 0.2, 0.3, 9.0])] * 3
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    vectors = {}
+    for i, v in rows:
+        vectors.setdefault(i, []).append(np.array(v, np.float32).astype(np.float64))
+    best = {q: {i: max(float((a * b).sum()) for a in vectors[q] for b in vectors[i]) for i in vectors if i != q} for q in vectors if q % 20 == 0}
+    truth = {q: sorted(s, key=lambda i: (-s[i], i))[:20] for q, s in best.items()}
+    assert result(nearest_neighbours(df, F.col("id") % 20 == 0)) == truth
