@@ -565,6 +565,19 @@ def top_load_times_of_files(t: Tables) -> DataFrame:
     return top_load_times(t.spark, path).select("minutes")
 
 
+@query(
+    "top_load_times_of_text",
+    f"""WITH {LOG} SELECT * FROM shown WHERE minutes IS NOT NULL ORDER BY minutes DESC, file, "table" LIMIT 10""",
+)
+def top_load_times_of_text(t: Tables) -> DataFrame:
+    """The same logs in a bounded number of text files, whose lines name their log and place, with tables, times and rows."""
+    path = scratch_path(t.spark, "logs")
+    log_lines(t).select(F.concat_ws("\t", "file", "line_no", "line")).repartition(8).write.text(path)
+    parts = F.split("value", "\t", 3)
+    lines = t.spark.read.text(path).select(parts[0].cast("long").alias("file"), parts[1].cast("long").alias("line_no"), parts[2].alias("line"))
+    return _shown(logs.top_tables(logs.log_table_stats(lines, chunk_rows=1000), 10, ("file", "table")))
+
+
 query(
     "carry_forward",
     """SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (
