@@ -119,23 +119,33 @@ def _long(x) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
+def _key_lists(keys: list[np.ndarray]) -> pa.Array:
+    lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+    values = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(values.view(np.int64)))
+
+
 def set_sizes(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
-    """Every row's id and text hash, set size, a 128-bit name of the set, its spare blocks in both bands, its bit sketch."""
+    """Every row's id and text hash, set size, a 128-bit name of the set, its spare blocks in both bands, its bit sketch, its keys."""
     names = ("doc_id", "text_hash", "n_shingles", "s1", "s2", "spare0", "spare1")
-    schema = pa.schema([*[(c, pa.int64()) for c in names], ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([*[(c, pa.int64()) for c in names], ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for (doc_id, tokens), text_hash in zip(_token_sets(batch, size), batch.column(2).to_pylist()):
-                spare = band_keys(tokens, p, q)[1] if len(tokens) else (0, 0)
+            rows, keys = [], []
+            hashes = batch.column(2).to_pylist()
+            for i, (doc_id, tokens) in enumerate(_token_sets(batch, size)):
+                own, spare = band_keys(tokens, p, q) if len(tokens) else (np.zeros(0, np.uint64), (0, 0))
                 name = (_long(np.bitwise_xor.reduce(mix64(tokens))), _long(mix64(tokens + np.uint64(7)).sum())) if len(tokens) else (0, 0)
-                rows.append((doc_id, text_hash, len(tokens), *name, *spare, bit_sketch(tokens).view(np.int64)))
-            columns = zip(*rows) if rows else [()] * len(schema)
-            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+                rows.append((doc_id, hashes[i], len(tokens), *name, *spare, bit_sketch(tokens).view(np.int64)))
+                keys.append(own)
+                if len(rows) == 256 or i + 1 == len(hashes):
+                    columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)]
+                    yield pa.record_batch([*columns, _key_lists(keys)], schema=schema)
+                    rows, keys = [], []
 
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return texts.mapInArrow(measure, ", ".join(f"{c} long" for c in names) + ", sketch array<long>")
+    return texts.mapInArrow(measure, ", ".join(f"{c} long" for c in names) + ", sketch array<long>, keys array<long>")
 
 
 def node_keys(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> DataFrame:
@@ -144,13 +154,10 @@ def node_keys(docs: DataFrame, size: int = SHINGLE, p: int = P, q: int = Q) -> D
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, band_keys(t, p, q)[0].view(np.int64)) for n, t in _token_sets(batch, size) if len(t)]
+            rows = [(n, band_keys(t, p, q)[0]) for n, t in _token_sets(batch, size) if len(t)]
             for i in range(0, max(len(rows), 1), 256):
                 part = rows[i : i + 256]
-                lengths = np.cumsum([0, *(len(k) for _, k in part)]).astype(np.int32)
-                values = np.concatenate([k for _, k in part]) if part else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))
-                yield pa.record_batch([pa.array([n for n, _ in part], pa.int64()), lists], schema=schema)
+                yield pa.record_batch([pa.array([n for n, _ in part], pa.int64()), _key_lists([k for _, k in part])], schema=schema)
 
     return docs.select("node", "text").mapInArrow(emit, "node long, keys array<long>")
 
@@ -215,15 +222,14 @@ def in_sample(node: str = "node") -> Column:
     return F.pmod(F.xxhash64(node), F.lit(SAMPLED)) == 0
 
 
-def block_groups(keys: DataFrame, spare: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
+def block_groups(keys: DataFrame, spare: DataFrame) -> DataFrame:
     """(key, node, weight) of the blocks shared by several nodes that stay when every node has left out its most common ones.
 
     A node's blocks are ordered by how many
     nodes share them, then by key, alike for all nodes; those that nobody shares come last and always stay.
     ``weight`` is the number of a node's shared blocks: in a group of edited copies, highest for the least edited.
-    ``sampled`` holds the keys of the nodes in the sample, so that not all keys are worked out for it.
     """
-    shared = _held(keys, keys.filter(in_sample()) if sampled is None else sampled)
+    shared = _held(keys, keys.filter(in_sample()))
     shared = materialize(shared, "shared")
     allowed = F.when(F.col("key") % 2 == 0, F.col("spare0")).otherwise(F.col("spare1"))
     rank = F.row_number().over(Window.partitionBy("node", F.col("key") % 2).orderBy(F.desc("held"), "key"))
@@ -318,10 +324,14 @@ def _classes(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
     others = materialize(others, "others")
     hashed = texts.select(F.col("doc_id").alias("node"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     source = hashed.filter("node IS NOT NULL").join(sized(others), ["node", "text_hash"], "left_anti").select("node", "text")
+    # the keys are stored with the sets; only rows without id are named and keyed anew
+    held = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("id").alias("node"), "text_hash", "keys")
+    keys = held.join(sized(others), ["node", "text_hash"], "left_anti").select("node", "keys")
     if not rows.filter("doc_id IS NULL AND n_shingles > 0").isEmpty():
-        source = source.unionByName(_named(texts.filter("doc_id IS NULL").select("doc_id", "text"), size))
-    keys = node_keys(source, size, p, q), node_keys(source.filter(in_sample()), size, p, q)
-    groups = block_groups(keys[0], nodes.select("node", "spare0", "spare1"), keys[1])
+        named = _named(texts.filter("doc_id IS NULL").select("doc_id", "text"), size)
+        source = source.unionByName(named)
+        keys = keys.unionByName(node_keys(named, size, p, q))
+    groups = block_groups(keys, nodes.select("node", "spare0", "spare1"))
     groups = materialize(groups, "groups")
     own = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("node_hash").alias("text_hash"))
     sketched = rows.select(F.col("id").alias("node"), "text_hash", F.col("n_shingles").alias("n"), "sketch")
