@@ -69,7 +69,7 @@ def run_query_list(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
     return result
 
 
-def top_load_times(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
-    """Tables of a load log that took longest."""
-    lines = numbered_lines(spark, path)
+def top_load_times(spark: SparkSession, path: str, n: int = 10, **options: object) -> DataFrame:
+    """Tables of a load log that took longest; ``options`` are those of the text reader."""
+    lines = numbered_lines(spark, path, **options)
     return top_tables(log_table_stats(lines, file="path"), n, ties=("path", "table"))

@@ -1,5 +1,7 @@
 """Work that grows with the input: partitions, folders and splits follow the rows, and state is touched once per run."""
 
+import os
+
 import pytest
 
 from ledgerline.sources import transactions
@@ -30,3 +32,18 @@ def test_receipts_follow_the_tables_splits(spark, tmp_path, small_splits, monkey
     monkeypatch.setattr(transactions, "write_transactional", watched)
     assert tuple(file_queries.transactional_receipts(Tables(spark, str(tmp_path))).first()) == (9000, 9000)
     assert parts[0] >= 9
+
+
+def test_log_files_lie_in_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    events = spark.range(0, 1500).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id * 60) AS ts", "nullif(id % 300, 7) AS user_id",
+        "CASE WHEN id < 300 THEN 'signup' WHEN id >= 1200 THEN 'purchase' ELSE 'view' END AS event_type",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    path = str(tmp_path / "logs")
+    monkeypatch.setattr(file_queries, "scratch_path", lambda *_: path)
+    found = file_queries.top_load_times_of_files(Tables(spark, str(tmp_path))).collect()
+    assert [r.minutes for r in found] == [1200.0] * 10
+    folders = [f for f in os.listdir(path) if f[0] not in "._"]
+    logs = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert len(logs) == 300 and len(folders) <= file_queries.LOG_FOLDERS
