@@ -1,10 +1,13 @@
 """Work that grows with the input: partitions, folders and splits follow the rows, and state is touched once per run."""
 
+import datetime
 import os
 
 import pytest
+from pyspark.sql import Row
 
 from ledgerline.sources import transactions
+from ledgerline.streaming.runs import RunGate
 from ledgerline.suite import file_queries
 from ledgerline.suite.registry import Tables
 
@@ -47,3 +50,45 @@ def test_log_files_lie_in_a_bounded_number_of_folders(spark, tmp_path, monkeypat
     folders = [f for f in os.listdir(path) if f[0] not in "._"]
     logs = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
     assert len(logs) == 300 and len(folders) <= file_queries.LOG_FOLDERS
+
+
+class Handle:
+    """Counts what a processor asks of its state store."""
+
+    def __init__(self):
+        self.held, self.calls, self.timers = None, [], []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.held is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_rows_of_a_decided_run_cost_one_look():
+    handle, gate = Handle(), RunGate(datetime.timedelta(seconds=10))
+    gate.init(handle)
+    ask = lambda *rows: list(gate.handleInputRows(("r",), iter([Row(micros=m, state=s) for m, s in rows]), None))
+    assert ask((None, "success")) == [] and handle.held is None
+    assert ask((5_000_000, "running"), (None, "success"), (4_000_000, None)) == [] and handle.timers == [14_000]
+    assert ask((3_000_000, "running")) == [] and handle.timers == [13_000]
+    won = ask((13_000_000, "running"), (12_000_000, "success"), (9_000_000, "running"))
+    assert won == [Row(run="r", outcome="success", messages=4, started=3_000_000, decided=12_000_000)] and handle.timers == []
+    handle.calls.clear()
+    assert ask((12_500_000, "success"), (99_000_000, "running")) == []
+    assert handle.calls == ["get"]
