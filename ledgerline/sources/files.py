@@ -403,19 +403,63 @@ def csv_records(spark: SparkSession, paths: Mapping[str, str], schema: T.StructT
     return rows.select("*", _source_of(paths).alias("source_key"))
 
 
+#: lines that are put in order together when a CSV file is read
+CSV_LINES = 20_000
+
+
+def _csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The records of quoted CSV files as ``_text``, without the header lines; a record may hold line breaks inside quotes.
+
+    A line goes on with the record before it if the quotes before it in its file are odd in number. Their parity is
+    summed within chunks of lines and over the chunks, so a file is read by as many tasks as it has splits. The lines of one
+    record meet by the place of its first line. Lines are stored once, as the splits of two reads may differ.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    placed = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_pos"),
+        (quotes % 2).alias("_odd"),
+        F.col("value").alias("_line"),
+    )
+    chunk = ["_path", "_start", "_chunk"]
+    lines = materialize(placed.withColumn("_chunk", F.floor(F.col("_pos") / CSV_LINES)), "lines")
+    in_chunk = Window.partitionBy(*chunk).orderBy("_pos")
+    of_file = Window.partitionBy("_path").orderBy("_start", "_chunk")
+    earlier = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    sums = lines.groupBy(*chunk).agg(F.sum("_odd").alias("_n"), F.min("_pos").alias("_first"))
+    sums = materialize(
+        sums.select(*chunk, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.first("_first").over(of_file).alias("_header")), "sums"
+    )
+
+    def begun(df: DataFrame) -> DataFrame:
+        inside = (F.col("_before") + F.sum("_odd").over(in_chunk) - F.col("_odd")) % 2 == 1
+        return df.join(sums, chunk).withColumn("_begun", F.when(~inside, F.col("_pos")))
+
+    # lines at the head of a chunk may go on with the last record begun in an earlier one
+    last = begun(lines.select(*chunk, "_pos", "_odd")).groupBy(*chunk).agg(F.max("_begun").alias("_last"))
+    carried = materialize(last.select(*chunk, F.last("_last", ignorenulls=True).over(earlier).alias("_carried")), "carried")
+    record = F.coalesce(F.last("_begun", ignorenulls=True).over(in_chunk), F.col("_carried"))
+    numbered = begun(lines).join(carried, chunk).select("_pos", "_line", "_header", record.alias("_record"))
+    parts = F.array_sort(F.collect_list(F.struct("_pos", "_line")))
+    whole = numbered.filter(F.col("_record") != F.col("_header")).groupBy("_record").agg(parts.alias("_parts"))
+    return whole.select(F.array_join(F.col("_parts._line"), "\n").alias("_text")).filter(F.col("_text") != "")
+
+
 def read_own_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """Files of ``export_csv``: quoted line breaks are part of a value, NULL and empty text differ.
 
-    A file with line breaks inside quotes can't be split, so its parts are the tasks. Spark's
-    reader would make NULL of quoted empty text too, so that comes as a mark and is put back.
+    Large files are read by many tasks, see ``_csv_records``; every record is then parsed by itself. Spark's
+    parser would make NULL of quoted empty text too, so that comes as a mark and is put back.
     """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    rows = spark.read.schema(fields).csv(path, header=True, escape='"', multiLine=True, emptyValue=_EMPTY)
+    plain = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+    options = {"escape": '"', "emptyValue": _EMPTY, "multiLine": "true", "lineSep": "\n"}
+    rows = _csv_records(spark, path).select(F.from_csv("_text", plain, options).alias("_row"))
+    values = [F.col(f"_row.c{i}") for i in range(len(fields))]
     return rows.select(
         *[
-            F.when(F.col(f"`{f.name}`") == _EMPTY, F.lit("")).otherwise(F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in fields
+            (F.when(v == _EMPTY, F.lit("")).otherwise(v) if isinstance(f.dataType, T.StringType) else v).alias(f.name)
+            for v, f in zip(values, fields)
         ]
     )

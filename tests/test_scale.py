@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import Row
 
-from ledgerline.sources import transactions
+from ledgerline.sources import files, sinks, transactions
 from ledgerline.streaming.runs import RunGate
 from ledgerline.suite import file_queries
 from ledgerline.suite.registry import Tables
@@ -92,3 +92,18 @@ def test_rows_of_a_decided_run_cost_one_look():
     handle.calls.clear()
     assert ask((12_500_000, "success"), (99_000_000, "running")) == []
     assert handle.calls == ["get"]
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, small_splits, rows):
+    texts = ["", None, "\n", '"\n"', "\r", "a\r\nb", '""', 'x,"y\n\n",z', "\n\n\n\n", "plain", " é\n日本 ", "k" * 900 + "\n" + "q" * 900]
+    data = [(i, texts[i % len(texts)], texts[(i * 7 + 3) % len(texts)]) for i in range(600)]
+    df = spark.createDataFrame(data, "k int, v string, `a \"b` string")
+    path = str(tmp_path / "one.csv")
+    sinks.export_single_csv(df.repartition(3), path)
+    sinks.export_csv(df, str(tmp_path / "many"))
+    small_splits(500)
+    back = files.read_own_csv(spark, path, df.schema)
+    assert rows(back) == rows(df)
+    assert rows(files.read_own_csv(spark, str(tmp_path / "many"), df.schema)) == rows(df)
+    assert spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 100
+    assert files.read_own_csv(spark, path, df.schema).schema == df.schema
