@@ -10,7 +10,7 @@ A text is cut into overlapping windows. Each is decoded by the CRF's best path;
 reconciled: a span cut by a window's edge is joined with its other part in the next window, and of all
 candidates of the text the set of disjoint spans with the highest sum of scores is taken.
 A decoded span counts if it holds what its kind needs (digits, parts, check digit) and meets no base span.
-Every kind needs a digit or an ``@``, so windows without either are decoded as empty without running the network.
+The network runs on every window of every text, also where no digit or ``@`` is in sight.
 
 Defined results: NULL texts are empty; empty texts hold nothing. Every input row gives a row, repeated rows repeated
 ones; rows without id are handled like others. Offsets are code points, ends exclusive. Base matches of a kind are the
@@ -57,8 +57,6 @@ _CONTROL, _LETTER, _REST, CHARACTERS = 96, 97, 98, 99
 _IDS = np.array(
     [_CONTROL if c < 32 else c - 31 if c < 127 else _LETTER if chr(c).isalpha() else _REST for c in range(0x250)] + [_REST], np.uint8
 )
-_HINT = np.zeros(CHARACTERS, bool)
-_HINT[[ord(c) - 31 for c in "0123456789@"]] = True
 _LABELS = 1 + 2 * len(KINDS)
 
 
@@ -103,8 +101,6 @@ def base_spans(text: str) -> list[Span]:
 
 def holds_kind(text: str, kind: int) -> bool:
     """Whether a decoded span has what its kind needs."""
-    if not HOLDS_HINT.search(text):
-        return False
     digits = _digits(text)
     if KINDS[kind] == "email":
         return "@" in text.strip("@") or bool(re.search(r"\w\s?[\[(]at[\])]\s?\w", text))
@@ -253,10 +249,42 @@ def _states(net: dict[str, np.ndarray], ids: np.ndarray, trace: list | None = No
     return np.stack((out[:, 0], out[::-1, 1])).transpose(0, 2, 1, 3)
 
 
+def _read_states(net: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """What ``_states`` gives, by place: (places, 2, windows, cells), without a trace.
+
+    Gates lie apart, so that every step works on whole arrays, and what a character gives is looked up step by step.
+    """
+    n, size = ids.shape
+    cells, kind = net["state"].shape[1], net["state"].dtype
+    half = np.array([0.5, 0.5, 0.5, 1], kind)[:, None, None]  # a gate is 0.5 * tanh(0.5 * z) + 0.5
+    given, state = (
+        [np.ascontiguousarray(w.reshape(len(w), 4, cells).transpose(1, 0, 2)) * half for w in net[name]] for name in ("inputs", "state")
+    )
+    turned = np.ascontiguousarray(ids.T).astype(np.intp)
+    out = np.empty((size, 2, n, cells), kind)
+    z, new = np.empty((4, n, cells), kind), np.empty((4, n, cells), kind)
+    for d in (0, 1):
+        hidden, cell = np.zeros((n, cells), kind), np.zeros((n, cells), kind)
+        for t in range(size) if d == 0 else range(size - 1, -1, -1):
+            np.take(given[d], turned[t], axis=1, out=z, mode="clip")
+            np.matmul(hidden, state[d], out=new)
+            z += new
+            np.tanh(z, out=z)
+            gates = z[:3]
+            gates *= 0.5
+            gates += 0.5
+            cell *= gates[1]
+            gates[0] *= z[3]
+            cell += gates[0]
+            np.tanh(cell, out=new[0])
+            hidden = np.multiply(gates[2], new[0], out=out[t, d])
+    return out
+
+
 def emissions(net: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     """Scores of all labels at all places; beyond the text only the outside is possible."""
-    states = _states(net, ids)
-    scores = states[0] @ net["out"][0] + states[1] @ net["out"][1] + net["bias"]
+    states = _read_states(net, ids)
+    scores = (states[:, 0] @ net["out"][0] + states[:, 1] @ net["out"][1] + net["bias"]).transpose(1, 0, 2)
     scores[..., 1:][ids == 0] = -1e4
     return scores
 
@@ -348,16 +376,22 @@ def best_paths(net: dict[str, np.ndarray], scores: np.ndarray) -> np.ndarray:
     """The most likely labels of every window."""
     n, size, _ = scores.shape
     follow = net["follow"] + _allowed()
-    best = net["first"] + scores[:, 0]
-    came = np.zeros((size, n, _LABELS), np.int8)
+    given = np.ascontiguousarray(scores.transpose(1, 2, 0))  # places, labels, windows
+    best = np.empty_like(given)
+    best[0] = net["first"][:, None] + given[0]
+    every = np.empty((_LABELS, n), given.dtype)
     for t in range(1, size):
-        every = best[:, :, None] + follow
-        came[t] = every.argmax(axis=1)
-        best = every.max(axis=1) + scores[:, t]
+        top = best[t]
+        np.add(best[t - 1, 0], follow[0][:, None], out=top)
+        for before in range(1, _LABELS):
+            np.add(best[t - 1, before], follow[before][:, None], out=every)
+            np.maximum(top, every, out=top)
+        top += given[t]
+    # where a path came from is found again along the best one only
     out = np.zeros((n, size), np.int64)
-    out[:, -1] = best.argmax(axis=1)
+    out[:, -1] = best[-1].argmax(axis=0)
     for t in range(size - 1, 0, -1):
-        out[:, t - 1] = came[t][np.arange(n), out[:, t]]
+        out[:, t - 1] = (best[t - 1] + np.take(follow, out[:, t], axis=1)).argmax(axis=0)
     return out
 
 
@@ -381,14 +415,14 @@ def _window_spans(net: dict[str, np.ndarray], ids: np.ndarray) -> list[list[Cand
     """Decoded spans of every window with their scores: how far their labels are above the outside."""
     scores = emissions(net, ids)
     paths = best_paths(net, scores)
-    gain = np.take_along_axis(scores, paths[:, :, None], axis=2)[:, :, 0] - scores[:, :, 0]
     out: list[list[Candidate]] = [[] for _ in ids]
     # a span begins at every beginning label and lasts as long as inside labels follow
     inside = (paths > 0) & (paths % 2 == 0)
     for w, s in zip(*np.nonzero(paths % 2 == 1)):
         rest = np.flatnonzero(~inside[w, s + 1 :])
         e = s + 1 + int(rest[0]) if len(rest) else ids.shape[1]
-        out[w].append((int(s), e, int(paths[w, s]) // 2, float(gain[w, s:e].sum())))
+        gain = scores[w, np.arange(s, e), paths[w, s:e]] - scores[w, s:e, 0]
+        out[w].append((int(s), e, int(paths[w, s]) // 2, float(gain.sum())))
     return out
 
 
@@ -454,15 +488,11 @@ def added_spans(net: dict[str, np.ndarray], texts: Sequence[str], base: Sequence
         places.clear()
 
     for i, text in enumerate(texts):
-        if not HOLDS_HINT.search(text):
-            continue
         ids = character_ids(text)
-        hints = np.concatenate(([0], np.cumsum(_HINT[ids])))
-        starts = window_starts(len(ids))
-        ends = np.minimum(starts + WINDOW, len(ids))
-        for s, e in zip(starts[hints[ends] > hints[starts]].tolist(), ends[hints[ends] > hints[starts]].tolist()):
-            waiting.append(np.pad(ids[s:e], (0, WINDOW - (e - s))))
-            places.append((i, s))
+        for start in window_starts(len(ids)).tolist() if text else ():
+            part = ids[start : start + WINDOW]
+            waiting.append(np.pad(part, (0, WINDOW - len(part))) if len(part) < WINDOW else part)
+            places.append((i, start))
             if len(waiting) == WINDOWS_AT_ONCE:
                 run()
     if waiting:
