@@ -2,11 +2,15 @@
 
 import datetime
 import os
+import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
 from ledgerline.sources import files, sinks, transactions
+from ledgerline.streaming import runs
 from ledgerline.streaming.runs import RunGate
 from ledgerline.suite import file_queries
 from ledgerline.suite.registry import Tables
@@ -107,3 +111,69 @@ def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, small_splits, rows)
     assert rows(files.read_own_csv(spark, str(tmp_path / "many"), df.schema)) == rows(df)
     assert spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 100
     assert files.read_own_csv(spark, path, df.schema).schema == df.schema
+
+
+class SlotHandle(Handle):
+    """The same with pages beside the value."""
+
+    def __init__(self):
+        super().__init__()
+        self.pages = {}
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.calls.append("page")
+        return self.pages.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("put")
+        self.pages[key] = value
+
+
+def fire(gate, handle, key, watermark):
+    """Expires timers as Spark does: those before the watermark, each deleted after its call."""
+    out = []
+    while due := [at for at in handle.timers if at < watermark]:
+        info = SimpleNamespace(getExpiryTimeInMs=lambda: min(due))
+        out += gate.handleExpiredTimer(key, SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), info)
+        handle.timers.remove(min(due))
+    return out
+
+
+def test_runs_of_a_slot_are_decided_as_alone_for_a_look_per_page(monkeypatch):
+    monkeypatch.setattr(runs, "PAGE_RUNS", 16)
+    within, dice = datetime.timedelta(seconds=50), random.Random(7)
+    handle, gate = SlotHandle(), runs.SlotGate(within)
+    gate.init(handle)
+    alone, names, watermark, decided = {}, [f"={i}é" for i in range(400)] + [""], 0, 0
+    for pull in range(30):
+        base = pull * 10_000_000
+        rows = [(dice.choice(names[: 20 + pull * 20]), dice.randrange(3), base + dice.randrange(-9_000_000, 15_000_000)) for _ in range(60)]
+        rows = [r for r in rows if r[2] > watermark * 1000]  # Spark drops late rows
+        frames = [pd.DataFrame(rows[i : i + 25], columns=["name", "kind", "micros"]) for i in range(0, len(rows), 25)]
+        handle.calls.clear()
+        found = [r for f in gate.handleInputRows((3,), iter(frames), None) for r in f.itertuples(index=False)]
+        expected = []
+        for name in {r[0] for r in rows}:
+            if name not in alone:
+                alone[name] = Handle(), RunGate(within)
+                alone[name][1].init(alone[name][0])
+            expected += alone[name][1].handleInputRows((name,), iter([Row(micros=m, state=runs.KINDS[k]) for n, k, m in rows if n == name]), None)
+        watermark = base // 1000
+        found += [r for f in fire(gate, handle, (3,), watermark) for r in f.itertuples(index=False)]
+        for name, (own, one) in alone.items():
+            expected += fire(one, own, (name,), watermark)
+        assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
+        assert len(handle.timers) <= 1
+        decided += len(found)
+    found = [r for f in fire(gate, handle, (3,), 10**9) for r in f.itertuples(index=False)]
+    assert decided + len(found) == len(alone) > 300 and not handle.timers
+    assert {len(found), decided} & {0} == set()
+    pages = len(handle.pages)
+    assert 16 <= pages <= 32
+    handle.calls.clear()
+    later = pd.DataFrame([(n, 2, 10**12) for n in alone], columns=["name", "kind", "micros"])
+    assert list(gate.handleInputRows((3,), iter([later]), None)) == []
+    assert handle.calls == ["get"] + ["page"] * pages

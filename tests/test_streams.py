@@ -7,7 +7,7 @@ import time
 import pytest
 
 from ledgerline.streaming.pulls import MessageReader, pull_available, pull_messages
-from ledgerline.streaming.runs import decide_available, run_outcomes
+from ledgerline.streaming.runs import ROCKSDB, STORE, decide_available, run_outcomes
 
 
 @pytest.fixture
@@ -92,3 +92,29 @@ def test_runs_are_decided_by_success_or_time(spark, tmp_path):
         "lost": ("failed", 2, at(61)),
         "new": ("failed", 1, at(260)),
     }
+
+
+def test_state_has_pages_of_runs_instead_of_a_row_per_run(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(minutes=m)
+    odd = [None, "", "=", "null", 'a"\n\\', "é😀"]
+    first = [(f"r{i}", at(0), "running") for i in range(3000)] + [(n, at(1), None) for n in odd] + [("timeless", None, "success")]
+    second = [(f"r{i}", at(2), "success") for i in range(0, 3000, 2)] + [(n, at(3 + i), "") for i, n in enumerate(odd)] + [("end", at(10_000), None)]
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, "run string, time timestamp, state string").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={i}"))
+    stream = spark.readStream.schema("run string, time timestamp, state string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = str(tmp_path / "out")
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        outcomes = run_outcomes(stream, datetime.timedelta(hours=1))
+        query = outcomes.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+        try:
+            query.processAllAvailable()
+            kept = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+        finally:
+            query.stop()
+    finally:
+        spark.conf.unset(STORE)
+    assert 0 < max(kept) < 1000
+    found = {r.run: (r.outcome, r.messages, r.started, r.decided) for r in spark.read.parquet(out).collect()}
+    expected = {f"r{i}": ("failed", 1, at(0), at(60)) if i % 2 else ("success", 2, at(0), at(2)) for i in range(3000)}
+    assert found == expected | {n: ("failed", 1, at(1), at(61)) for n in odd}
